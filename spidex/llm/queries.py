@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spidex.llm import media, packing, tokenbin
-from spidex.llm.common import cut, documents, scratch
+from spidex.llm import media, packing, rules, simhash, tokenbin
+from spidex.llm.common import cut, documents, labels, scratch
 
 
 def tokenizer_path() -> str:
@@ -28,5 +28,14 @@ def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.digests(media.to_media(documents(spark, sf_dir)))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op5_token_binary, op7_media_columns)}
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.quality_rules(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
+def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(documents(spark, sf_dir), words=3, distance=3)
+    return found.select("doc_id", simhash.hex_digits().alias("fingerprint"), "component_id")
+
+
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op5_token_binary, op6_quality_rules, op7_media_columns, op8_simhash_near_dedup)}
 ORACLE_SQL: dict[str, str] = {}
