@@ -155,3 +155,26 @@ def word_spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     space[1:-1] = _SPACE[data]
     edge = np.flatnonzero(space[1:] != space[:-1])
     return edge[0::2], edge[1::2]
+
+
+def repeated_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Words of each text, and those in windows of three words that the text has twice or more."""
+    data = np.frombuffer(b"\n".join(texts), np.uint8)
+    start, end = word_spans(data)
+    of = np.searchsorted(np.cumsum([len(t) + 1 for t in texts]), start, side="right")
+    words = np.bincount(of, minlength=len(texts))
+    if len(start) < 3:
+        return words, np.zeros(len(texts), np.int64)
+    h = span_hash(prefix_hash(data), start, end)
+    window = mix(h[:-2]) * np.uint64(3) + mix(h[1:-1] + np.uint64(1)) * np.uint64(5) + mix(h[2:] + np.uint64(2)) + mix(of[:-2].astype(np.uint64))
+    within = np.flatnonzero(of[:-2] == of[2:])
+    order = within[np.argsort(window[within], kind="stable")]
+    same = window[order[1:]] == window[order[:-1]]
+    again = np.zeros(len(start), bool)
+    for k in range(3):
+        again[order[1:][same] + k] = again[order[:-1][same] + k] = True
+    return words, np.bincount(of[again], minlength=len(texts))
+
+
+def repeated(text: bytes) -> int:
+    return int(repeated_words([text])[1][0])

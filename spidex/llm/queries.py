@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spidex.llm import media, packing, rules, simhash, tokenbin
+from spidex.llm import media, packing, quality, rules, simhash, tokenbin
 from spidex.llm.common import cut, documents, labels, scratch
 
 
@@ -37,5 +37,9 @@ def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex_digits().alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op5_token_binary, op6_quality_rules, op7_media_columns, op8_simhash_near_dedup)}
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op5_token_binary, op6_quality_rules, op7_media_columns, op8_simhash_near_dedup, op10_quality_classifier)}
 ORACLE_SQL: dict[str, str] = {}
