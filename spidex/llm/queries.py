@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from spidex.llm import media, packing, quality, rules, simhash, tokenbin
+from spidex.llm import linededup, media, mixing, packing, quality, rules, simhash, tokenbin
 from spidex.llm.common import cut, documents, labels, scratch
 
 
@@ -18,6 +19,14 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), tokenizer_path(), capacity=2048, end_id=0)
 
 
+def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.digests(documents(spark, sf_dir))
+
+
 def op5_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     with scratch(spark) as path:
         tokenbin.write(documents(spark, sf_dir), path("tokens"), tokenizer_path(), end_id=2)
@@ -41,5 +50,17 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(documents(spark, sf_dir), labels(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op5_token_binary, op6_quality_rules, op7_media_columns, op8_simhash_near_dedup, op10_quality_classifier)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_best_fit_packing,
+        op2_mix_sources,
+        op4_line_dedup,
+        op5_token_binary,
+        op6_quality_rules,
+        op7_media_columns,
+        op8_simhash_near_dedup,
+        op10_quality_classifier,
+    )
+}
+ORACLE_SQL: dict[str, str] = {"op4_line_dedup": linededup.ORACLE_SQL}
