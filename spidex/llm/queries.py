@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spidex.llm import linededup, media, mixing, packing, quality, rules, simhash, tokenbin
+from spidex.llm import langid, linededup, media, mixing, packing, quality, rules, simhash, tokenbin
 from spidex.llm.common import cut, documents, labels, scratch
 
 
@@ -46,6 +46,10 @@ def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex_digits().alias("fingerprint"), "component_id")
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(documents(spark, sf_dir))
+
+
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(documents(spark, sf_dir), labels(spark, sf_dir))
 
@@ -60,6 +64,7 @@ QUERIES = {
         op6_quality_rules,
         op7_media_columns,
         op8_simhash_near_dedup,
+        op9_language_id,
         op10_quality_classifier,
     )
 }
