@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spidex.llm import langid, linededup, media, mixing, packing, quality, rules, simhash, tokenbin
+from spidex.llm import langid, linededup, media, mixing, packing, quality, rules, simhash, suffix, tokenbin
 from spidex.llm.common import cut, documents, labels, scratch
 
 
@@ -23,6 +23,10 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.repeated_bytes(documents(spark, sf_dir)).drop("spans")
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.digests(documents(spark, sf_dir))
 
@@ -59,6 +63,7 @@ QUERIES = {
     for f in (
         op1_best_fit_packing,
         op2_mix_sources,
+        op3_suffix_dedup,
         op4_line_dedup,
         op5_token_binary,
         op6_quality_rules,
