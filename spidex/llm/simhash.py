@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spidex.llm.common import components, cut, shuffle_partitions, text_or_empty
+from spidex.llm.common import components, cut, mix, shuffle_partitions, text_or_empty
 
 BLOCK = 4096
 
@@ -164,3 +164,119 @@ def near_duplicates(docs: DataFrame, words: int = 3, distance: int = 3, segments
 
 def hex_digits(column: str = "fp"):
     return F.lpad(F.lower(F.hex(column)), 16, "0")
+
+
+WIDE = 4  # words of a wide fingerprint
+_SEEDS = mix(np.arange(1, 2 * WIDE + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+
+def wide_fingerprint(text: str, words: int = 5) -> np.ndarray:
+    """256 bits of SimHash over distinct word shingles, then the least shingle hash under four seeds; no words: zeros."""
+    from xxhash import xxh64_intdigest as h
+
+    w = text.encode("utf-8", "surrogatepass").lower().split()
+    if not w:
+        return np.zeros(2 * WIDE, np.uint64)
+    n = max(1, len(w) - words + 1)
+    hashes = np.fromiter({h(b" ".join(w[i : i + words]), 42) for i in range(n)}, np.uint64)
+    out = np.empty(2 * WIDE, np.uint64)
+    for k in range(WIDE):
+        bits = np.unpackbits(mix(hashes ^ _SEEDS[k]).view(np.uint8).reshape(-1, 8), axis=1)
+        out[k] = np.packbits(bits.sum(axis=0, dtype=np.int64) * 2 > len(hashes)).view(np.uint64)[0]
+        out[WIDE + k] = mix(hashes ^ _SEEDS[WIDE + k]).min()
+    return out
+
+
+def _wide_links(distance: int):
+    """As _links(), for rows (slot, key, lo, hi, side, 4 words, node): words differ in ``distance`` bits of 256 at most.
+
+    Before the sum is looked at, some start on the ring of words must have every chain within its part of the distance.
+    """
+    budget = np.array([l * distance // WIDE for l in range(1, WIDE + 1)])
+
+    def join(group, side, words, node):
+        n = len(node)
+        size = np.diff(np.append(np.flatnonzero(np.append(True, group[1:] != group[:-1])), n))
+        last = np.repeat(np.cumsum(size), size)
+        label, live = np.arange(n), np.arange(n)
+        for s in range(1, int(size.max(initial=1))):
+            live = live[live + s < last[live]]
+            a = live[(side[live] < 0) | (side[live] != side[live + s])]
+            p, q = label[a], label[a + s]
+            a = a[p != q]
+            diff = np.bitwise_count(words[a] ^ words[a + s]).astype(np.int64)
+            chains = np.cumsum(np.concatenate([diff, diff], axis=1)[:, np.arange(WIDE)[:, None] + np.arange(WIDE)], axis=2)
+            a = a[(chains <= budget).all(axis=2).any(axis=1) & (diff.sum(axis=1) <= distance)]
+            p, q = label[a], label[a + s]
+            while (differ := p != q).any():
+                p, q = p[differ], q[differ]
+                np.minimum.at(label, np.maximum(p, q), np.minimum(p, q))
+                while (label[label] != label).any():
+                    label = label[label]
+                p, q = label[p], label[q]
+        return [(int(node[k]), int(node[label[k]])) for k in np.flatnonzero(label != np.arange(n))]
+
+    def run(batches_):
+        held: list[np.ndarray] = []
+
+        def emit(rows):
+            group = np.cumsum(np.append(False, (rows[1:, :4] != rows[:-1, :4]).any(axis=1)))
+            found = join(group, rows[:, 4], np.ascontiguousarray(rows[:, 5 : 5 + WIDE]).view(np.uint64), rows[:, 5 + WIDE])
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], names=["a", "b"])
+
+        for batch in batches_:
+            rows = np.concatenate([*held, np.stack([c.cast(pa.int64()).to_numpy() for c in batch.columns], axis=1)])
+            if not len(rows):
+                continue
+            other = (rows[:, :4] != rows[-1, :4]).any(axis=1)
+            opened = len(rows) - int(np.argmax(other[::-1])) if other.any() else 0
+            if opened:
+                yield from emit(rows[:opened])
+            held = [rows[opened:]]
+        if held and len(held[0]):
+            yield from emit(held[0])
+
+    return run
+
+
+def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(doc_id, component_id): documents linked where their SimHash over distinct word shingles tells a Jaccard similarity of ``similarity``.
+
+    Sets with Jaccard similarity s have a cosine of about 2 s / (1 + s) and differ in acos(cosine) / pi of the bits; the distance
+    allowed is that of 256 bits plus one standard error, so few that reach the similarity are lost. At such a distance no exact part of a
+    fingerprint is long enough to index by, so candidates are those that agree in one of four least shingle hashes (they do with
+    a chance of 1 - (1 - s) ** 4), dealt out and linked as in links().
+    """
+    share = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+    distance = int(256 * share + (256 * share * (1 - share)) ** 0.5)
+    names = [f"w{k}" for k in range(WIDE)] + [f"k{k}" for k in range(WIDE)]
+
+    def run(batches_):
+        for batch in batches_:
+            found = np.array([wide_fingerprint(t.as_py(), words) for t in batch.column(1)], np.uint64).reshape(-1, 2 * WIDE).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.ascontiguousarray(found[:, k])) for k in range(2 * WIDE))], names=["doc_id", *names])
+
+    prints = cut(docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text")).mapInArrow(run, "doc_id long, " + ", ".join(f"{n} long" for n in names)))
+    wide = names[:WIDE]
+    nodes = cut(prints.filter("doc_id is not null").groupBy(*wide).agg(F.min("doc_id").alias("node"), *(F.min(k).alias(k) for k in names[WIDE:])))
+    keys = F.array(*(F.struct(F.lit(k).alias("slot"), F.col(f"k{k}").alias("key")) for k in range(WIDE)))
+    keyed = nodes.select("node", *wide, F.explode(keys).alias("k")).select("k.*", "node", *wide)
+    crowded = keyed.groupBy("slot", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    dealt = (
+        keyed.join(crowded, ["slot", "key"])
+        .withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+        .withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .select("slot", "key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), F.when(F.col("own") == F.col("other"), -1).otherwise((F.col("own") > F.col("other")).cast("int")).alias("side"), *wide, "node")
+    )
+    group = ["slot", "key", "lo", "hi"]
+    found = dealt.repartition(shuffle_partitions(docs.sparkSession), *group).sortWithinPartitions(*group).mapInArrow(_wide_links(distance), "a long, b long")
+    labelled = nodes.join(components(found), "node", "left").select(*wide, F.coalesce("label", "node").alias("component_id"))
+    return prints.filter("doc_id is not null").join(labelled, wide).select("doc_id", "component_id")
+
+
+def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The rows of ``docs``, all columns, but for documents whose group has a smaller doc_id; rows with a null doc_id stay."""
+    gone = similar_groups(docs, words, similarity).filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(gone, docs["doc_id"].cast("long") == F.col("_gone"), "left_anti")
