@@ -2,7 +2,7 @@
 
 Document evidence: which hashed words and shape levels a text has, weighed by the log-odds between rejected and good
 labelled rows (quality 0 or toxic 1 against the rest), from a sample of at most ``sample_rows`` labelled rows; only
-odds of ``least_odds`` or more, beyond ``least_z`` standard errors, count, and a text's evidence is the sum of its ``top`` strongest, so long texts
+odds of ``least_odds`` or more, beyond ``least_z`` standard errors, of words that rejected rows have after ``least_contexts`` or more different words (copies of one text have them after the same), count, and a text's evidence is the sum of its ``top`` strongest, so long texts
 don't gather noise. Tables have ``BUCKETS`` entries whatever the corpus.
 
 Sites: a host (``source``) and a path on it (``source``, ``lang``) have beta posteriors of being rejected, from the labels of
@@ -32,13 +32,17 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
-def features(text: bytes) -> np.ndarray:
-    """Distinct entries: hashed runs of letters in lower case, and the level of each shape."""
+def features(text: bytes, contexts: bool = False):
+    """Distinct entries: hashed runs of letters in lower case, and the level of each shape.
+
+    With contexts also a set of 64 bits for each entry: the hashed words before it; all bits for shapes.
+    """
     data = np.frombuffer(text, np.uint8)
     letter = np.zeros(len(data) + 2, bool)
     letter[1:-1] = _LETTER[data]
     edge = np.flatnonzero(letter[1:] != letter[:-1])
-    words = np.unique(span_hash(prefix_hash(_LOWER[data]), edge[0::2], edge[1::2]) & np.uint64(BUCKETS - 1)).astype(np.int64)
+    hashes = span_hash(prefix_hash(_LOWER[data]), edge[0::2], edge[1::2])
+    words, of = np.unique((hashes & np.uint64(BUCKETS - 1)).astype(np.int64), return_inverse=True)
     start, end = word_spans(data)
     n, letters = max(1, len(start)), max(1, int(letter.sum()))
     upper = int(((data >= 65) & (data <= 90)).sum())
@@ -46,7 +50,13 @@ def features(text: bytes) -> np.ndarray:
     distinct = len(np.unique(span_hash(prefix_hash(data), start, end)))
     shape = [upper / letters * 15, symbols / n * 8, (1 - distinct / n) * 15, repeated(text) / n * 15, text.count(b"|") / n * 8, text.count(b"!") / n * 8, np.log2(n)]
     levels = np.clip(np.array(shape), 0, LEVELS - 1).astype(np.int64)
-    return np.concatenate([words, BUCKETS + np.arange(SHAPES) * LEVELS + levels])
+    entries = np.concatenate([words, BUCKETS + np.arange(SHAPES) * LEVELS + levels])
+    if not contexts:
+        return entries
+    before = np.full(len(entries), ~np.uint64(0))
+    before[: len(words)] = 0
+    np.bitwise_or.at(before, of, np.uint64(1) << (mix(np.append(np.uint64(0), hashes[:-1])[: len(hashes)]) & np.uint64(63)))
+    return entries, before
 
 
 def _judged(labels: DataFrame) -> DataFrame:
@@ -55,30 +65,34 @@ def _judged(labels: DataFrame) -> DataFrame:
     return labels.select(F.col("doc_id").cast("long"), bad.cast("int").alias("bad")).filter("doc_id is not null and bad is not null").groupBy("doc_id").agg(F.max("bad").alias("bad"))
 
 
-def word_odds(docs: DataFrame, labels: DataFrame, sample_rows: int = 50_000, least_z: float = 3.0, least_odds: float = 2.5) -> np.ndarray:
+def word_odds(docs: DataFrame, labels: DataFrame, sample_rows: int = 50_000, least_z: float = 2.5, least_odds: float = 3.0, least_contexts: int = 6) -> np.ndarray:
     """The log-odds of each entry, 0 where they may be chance."""
     sample = _judged(labels).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
     # as many rows as ``sample_rows`` at most
     rows = docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text")).join(F.broadcast(sample), "doc_id").select("text", "bad")
 
     def run(batches_):
-        seen, n = np.zeros((2, ENTRIES), np.int64), np.zeros(2, np.int64)
+        seen, n, near = np.zeros((2, ENTRIES), np.int64), np.zeros(2, np.int64), np.zeros(ENTRIES, np.uint64)
         for batch in batches_:
             for text, bad in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                seen[bad, features(text.encode())] += 1
+                entries, before = features(text.encode(), contexts=True)
+                seen[bad, entries] += 1
+                if bad:
+                    near[entries] |= before
                 n[bad] += 1
         some = np.flatnonzero(seen.any(axis=0))
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(x, y)) for x, y in ((some, -1), (seen[0, some], n[0]), (seen[1, some], n[1]))], names=["entry", "good", "bad"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(x, y)) for x, y in ((some, -1), (seen[0, some], n[0]), (seen[1, some], n[1]), (near[some].view(np.int64), 0))], names=["entry", "good", "bad", "near"])
 
-    sums = rows.mapInArrow(run, "entry long, good long, bad long").groupBy("entry").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")).toArrow()  # ENTRIES + 1 rows at most
-    seen = np.zeros((2, ENTRIES + 1))
+    sums = rows.mapInArrow(run, "entry long, good long, bad long, near long").groupBy("entry").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"), F.bit_or("near").alias("near")).toArrow()  # ENTRIES + 1 rows at most
+    seen, near = np.zeros((2, ENTRIES + 1)), np.zeros(ENTRIES + 1, np.uint64)
+    near[sums["entry"].to_numpy()] = sums["near"].to_numpy().view(np.uint64)
     seen[0, sums["entry"].to_numpy()], seen[1, sums["entry"].to_numpy()] = sums["good"].to_numpy(), sums["bad"].to_numpy()
     (good, bad), (n_good, n_bad) = seen[:, :-1], seen[:, -1]
     if not n_good or not n_bad:
         return np.zeros(ENTRIES)
     odds = np.log((bad + 0.5) / (n_bad + 1)) - np.log((good + 0.5) / (n_good + 1))
     z = odds / np.sqrt(1 / (bad + 0.5) + 1 / (good + 0.5))
-    return np.where((z >= least_z) & (odds >= least_odds), np.minimum(odds, 8.0), 0.0)
+    return np.where((z >= least_z) & (odds >= least_odds) & (np.bitwise_count(near[:-1]) >= least_contexts), np.minimum(odds, 8.0), 0.0)
 
 
 def evidence(docs: DataFrame, odds: np.ndarray, top: int = 3) -> DataFrame:
@@ -119,7 +133,7 @@ def site_priors(sites: DataFrame, labels: DataFrame) -> tuple[DataFrame, float]:
     return nested.select(F.col("source").alias("s"), F.col("lang").alias("l"), ((F.col("bad") + k * F.col("host_rate")) / (F.col("n") + k)).alias("prior")), rate
 
 
-def classify(docs: DataFrame, labels: DataFrame, sample_rows: int = 50_000, top: int = 3, reject_at: float = 0.8) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, sample_rows: int = 50_000, top: int = 3, reject_at: float = 0.9) -> DataFrame:
     """(doc_id, p_bad, kept) of every document."""
     scored = cut(evidence(docs, word_odds(docs, labels, sample_rows), top))
     priors, rate = site_priors(scored.select("doc_id", "source", "lang"), labels)
