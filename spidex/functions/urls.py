@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 LONGEST, DEEPEST, MOST_REPEATS, MOST_PARAMETERS = 255, 10, 2, 5
-ASSETS = "jpg jpeg png gif svg webp pdf zip gz mp4 mp3 avi css js ico exe dmg".split()
-TRACKING = "utm_source utm_medium utm_campaign utm_term utm_content fbclid gclid sessionid sid phpsessid jsessionid ref".split()
+ASSETS = "avi css dmg exe gif gz ico jpeg jpg js mp3 mp4 pdf png svg webp zip".split()
+TRACKING = "fbclid gclid jsessionid phpsessid ref sessionid sid utm_campaign utm_content utm_medium utm_source utm_term".split()
 _ASSET = re.compile(rf"\.(?:{'|'.join(ASSETS)})$", re.IGNORECASE)
 _PARTS = re.compile(r"(?P<scheme>[A-Za-z][A-Za-z0-9+.-]*)://(?P<authority>[^/?#]*)(?P<path>[^?#]*)(?:\?(?P<query>[^#]*))?(?:#(?P<fragment>.*))?")
 _LEGAL = re.compile(r"(?:[A-Za-z0-9\-_.!~*'();/?:@&=+$,\[\]#]|%[0-9A-Fa-f]{2}|[^\x00-\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000])*")

@@ -10,7 +10,7 @@ from spidex.operators.segments import MERGE_AT, SegmentStore, latest
 
 
 def unseen_stream(urls: DataFrame, column: str = "url") -> DataFrame:
-    """Each URL once over the life of the stream. The state never expires, as the reference semantics want, so it grows with the URLs."""
+    """Each URL once over the life of the stream. The state never expires, so it grows with the URLs."""
     return urls.dropDuplicates([column])
 
 
