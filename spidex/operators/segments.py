@@ -132,7 +132,7 @@ class SegmentStore:
     def _write(self, segment_id: int, postings: DataFrame, lengths: DataFrame) -> int:
         p, d = f"{self.root}/postings/segment_id={segment_id}", f"{self.root}/doc_lengths/segment_id={segment_id}"
         lengths.select("doc_id", "title_len", "text_len").write.mode("overwrite").parquet(d)
-        ordered = postings.select("term", "doc_id", "title_tf", "text_tf", "positions").repartitionByRange("term").sortWithinPartitions("term", "doc_id")
+        ordered = postings.select("term", "doc_id", "title_tf", "text_tf", "positions").repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id")
         ordered.write.mode("overwrite").parquet(p)
         return self.spark.read.parquet(d).count()
 
