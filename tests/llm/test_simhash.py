@@ -113,6 +113,8 @@ def test_odd(spark, odd_docs, no_docs):
     assert of[1] == of[2] == of[3] == 1 and of[4] == of[5] == 4 and of[7] == 6 and of[None] is None
     assert simhash.near_duplicates(no_docs).count() == 0
     assert simhash.similar_groups(no_docs).count() == 0
+    kept = simhash.one_of_each(odd_docs)
+    assert kept.schema == odd_docs.schema and sorted(str(r.doc_id) for r in kept.collect()) == ["1", "4", "6", "8", "9", "None"]
 
 
 def jaccard(a, b, k=5):
