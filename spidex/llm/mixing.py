@@ -103,6 +103,8 @@ def mix(docs: DataFrame, share: float = 1.5, weights: tuple = WEIGHTS, polish: i
     rated = histogram.join(about, "source_key").select(
         "source_key",
         "size",
+        "source_size",
+        "target",
         F.when(F.col("tilt").isNotNull(), _rate(F.col("tilt"), F.col("size"), F.col("mean"))).otherwise(F.when(F.col("target") > 0, 2.0).otherwise(0.0)).alias("rate"),
     )
     tie = F.xxhash64("doc_id")
@@ -111,25 +113,29 @@ def mix(docs: DataFrame, share: float = 1.5, weights: tuple = WEIGHTS, polish: i
         .repartitionByRange(shuffle_partitions(docs.sparkSession), "source_key", "size", "tie")
         .select("*", F.spark_partition_id().alias("range"), F.monotonically_increasing_id().alias("row"))
     )
-    rows = cut(_walk(ranged.join(cut(rated), ["source_key", "size"])).select("row", "doc_id", "source_key", "size", "copies", "tie"))
-    changes = None
+    rows = cut(_walk(ranged.join(cut(rated), ["source_key", "size"])).select("row", "doc_id", "source_key", "size", "source_size", "target", "copies", "tie"))
+    changes, salts = None, shuffle_partitions(docs.sparkSession)
     for _ in range(polish):
         current = rows if changes is None else rows.join(changes.select("row", "change"), "row", "left").withColumn("copies", F.col("copies") + F.coalesce("change", F.lit(0))).drop("change")
-        missing = current.groupBy("source_key").agg(F.sum(F.col("copies") * F.col("size")).alias("taken")).join(sources, "source_key").select("source_key", (F.col("target") - F.col("taken")).alias("missing"))
-        missing = cut(missing)
+        missing = current.groupBy("source_key").agg((F.max("target") - F.sum(F.col("copies") * F.col("size"))).alias("missing"))
+        # a source may hold a third of all rows: its rows meet what it misses in ``salts`` parts
+        missing = cut(missing.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))))
         fits = F.when(F.col("missing") > 0, F.col("copies") < 2).otherwise(F.col("copies") > 0) & (F.col("size") > 0)
         off = F.abs(F.abs("missing") - F.col("size"))
         open_ = current if changes is None else current.join(changes.select("row"), "row", "left_anti")
         best = (
-            open_.join(missing, "source_key")
+            open_.withColumn("salt", F.pmod("row", F.lit(salts)).cast("int"))
+            .join(missing, ["source_key", "salt"])
             .filter(fits & (off < F.abs("missing")))
-            .groupBy("source_key")
+            .groupBy("source_key", "salt")
             .agg(F.min(F.struct(off.alias("off"), "tie", "row", F.signum("missing").cast("long").alias("change"))).alias("best"))
+            .groupBy("source_key")
+            .agg(F.min("best").alias("best"))
             .select("best.row", "best.change")
         )
         changes = cut(best if changes is None else changes.unionByName(best))
     final = rows if changes is None else rows.join(changes, "row", "left").withColumn("copies", F.col("copies") + F.coalesce("change", F.lit(0)))
-    return final.join(sources, "source_key").select("doc_id", "source_key", "size", "source_size", "target", "copies")
+    return final.select("doc_id", "source_key", "size", "source_size", "target", "copies")
 
 
 def mixed_documents(docs: DataFrame, **how) -> DataFrame:
