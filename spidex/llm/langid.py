@@ -15,13 +15,15 @@ on; an empty table gives an empty result. Only ``text`` is an input of a predict
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from spidex.llm.common import text_or_empty
+from spidex.llm.common import shuffle_partitions, text_or_empty
 
 SEGMENT, UNITS, SIDE = 64, 8, 512
 
@@ -76,10 +78,9 @@ def _layer_back(x, u, tape, dhs):
         through.append(back)
         before.append(h)
         dh = dh * (1 - z) + back @ u.T
-    flat = np.concatenate(into[::-1])
-    one = np.zeros((256, len(flat)), np.float32)
-    one[x.ravel(), np.arange(len(flat))] = 1
-    return one @ flat, np.concatenate(before).T @ np.concatenate(through)
+    flat, at = np.concatenate(into[::-1]), x.ravel()
+    table = np.stack([np.bincount(at, weights=flat[:, k], minlength=256) for k in range(flat.shape[1])], axis=1)
+    return table, np.concatenate(before).T @ np.concatenate(through)
 
 
 class Network:
@@ -115,7 +116,7 @@ class Network:
         g["tb"], g["ub"] = _layer_back(x[::-1], self.p["ub"], tape_b, dboth[::-1, :, units:])
         return loss, g
 
-    def train(self, x: np.ndarray, y: np.ndarray, lengths: np.ndarray, steps: int = 400, side: int = 256, rate: float = 0.02, seed: int = 11) -> "Network":
+    def train(self, x: np.ndarray, y: np.ndarray, lengths: np.ndarray, steps: int = 250, side: int = 256, rate: float = 0.02, seed: int = 11) -> "Network":
         """x (segments, SEGMENT), y the language of each, lengths the real bytes of each."""
         rng = np.random.default_rng(seed)
         m = {k: np.zeros_like(v) for k, v in self.p.items()}
@@ -154,9 +155,13 @@ class Network:
 
 def training_segments(docs: DataFrame, per_language: int, per_text: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]:
     usable = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), text_or_empty().alias("text")).filter("doc_id is not null and lang is not null and text <> ''").filter(~held_out())
-    first = W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    # the window drops all but per_language rows a language within each task, before anything is shuffled
-    chosen = usable.select("doc_id", "lang").withColumn("nth", F.row_number().over(first)).filter(F.col("nth") <= per_language).select("doc_id", "lang")
+    # both windows drop all but per_language rows a language within each task before they shuffle; the first, over groups of
+    # tasks, leaves the second as many rows as there are groups, however many tasks read the table
+    groups = math.isqrt(shuffle_partitions(docs.sparkSession)) + 1
+    chosen = usable.select("doc_id", "lang", (F.spark_partition_id() % groups).alias("group"))
+    for keys in (["lang", "group"], ["lang"]):
+        first = W.partitionBy(*keys).orderBy(F.xxhash64("doc_id"), "doc_id")
+        chosen = chosen.withColumn("nth", F.row_number().over(first)).filter(F.col("nth") <= per_language).drop("nth")
 
     def run(batches_):
         for batch in batches_:
@@ -177,7 +182,7 @@ def training_segments(docs: DataFrame, per_language: int, per_text: int) -> tupl
     return x, np.array([languages.index(v) for v in langs], np.int64), rows["size"].to_numpy().astype(np.int64), languages
 
 
-def learn(docs: DataFrame, per_language: int = 400, per_text: int = 12, steps: int = 400) -> Network | None:
+def learn(docs: DataFrame, per_language: int = 400, per_text: int = 12, steps: int = 250) -> Network | None:
     """Trained on rows of ``docs`` that aren't held out; None without any."""
     x, y, lengths, languages = training_segments(docs, per_language, per_text)
     return Network(languages).train(x, y, lengths, steps) if languages else None
