@@ -73,4 +73,4 @@ QUERIES = {
         op10_quality_classifier,
     )
 }
-ORACLE_SQL: dict[str, str] = {"op4_line_dedup": linededup.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_suffix_dedup": suffix.ORACLE_SQL, "op4_line_dedup": linededup.ORACLE_SQL}

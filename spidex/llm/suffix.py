@@ -383,3 +383,24 @@ def repeated_bytes(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     spark = docs.sparkSession
     with scratch(spark) as path, shuffle_files_removed(spark):
         return cut(repeats(docs, path, length, gram))
+
+
+#: What op3's query returns in DuckDB's SQL, from every string of 50 bytes.
+ORACLE_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, h, unnest(range(0, greatest(length(h) // 2 - 49, 0))) AS s FROM d),
+g AS (SELECT doc_id, s, substr(h, 2 * s + 1, 100) AS string FROM w),
+first AS (SELECT string, min(doc_id) AS least FROM g GROUP BY string HAVING count(*) > 1),
+later AS (SELECT DISTINCT doc_id, s FROM g JOIN first USING (string) WHERE doc_id > least),
+turn AS (SELECT doc_id, s, CASE WHEN s <= lag(s) OVER (PARTITION BY doc_id ORDER BY s) + 50 THEN 0 ELSE 1 END AS new FROM later),
+run AS (SELECT doc_id, s, sum(new) OVER (PARTITION BY doc_id ORDER BY s) AS k FROM turn),
+span AS (SELECT doc_id, k, min(s) AS a, max(s) + 50 AS b FROM run GROUP BY doc_id, k),
+gap AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS since FROM span),
+cut AS (
+  SELECT doc_id, count(*) AS n_spans, sum(b - a) AS n_removed, string_agg(substr(h, 2 * since + 1, 2 * (a - since)), '' ORDER BY a) AS kept, max(b) AS tail
+  FROM gap JOIN d USING (doc_id) GROUP BY doc_id
+)
+SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+  sha256(unhex(CASE WHEN tail IS NULL THEN h ELSE kept || substr(h, 2 * tail + 1) END)) AS kept_sha256
+FROM d LEFT JOIN cut USING (doc_id)
+"""
