@@ -17,6 +17,8 @@ row (then null); an empty table gives an empty result; other columns are not loo
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -167,34 +169,50 @@ def hex_digits(column: str = "fp"):
 
 
 WIDE = 4  # words of a wide fingerprint
-_SEEDS = mix(np.arange(1, 2 * WIDE + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+KEYS = 8  # least shingle hashes of a text, by which candidates meet
+MARGIN = 5  # standard errors that the filter allows over the distance expected
+FEW = 16  # sets of fewer shingles go past the filter: its estimate is off for them
+SHINGLES = 1 << 20  # in a block, by their mean size
+_SEEDS = mix(np.arange(1, WIDE + KEYS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
-def wide_fingerprint(text: str, words: int = 5) -> np.ndarray:
-    """256 bits of SimHash over distinct word shingles, then the least shingle hash under four seeds; no words: zeros."""
+def shingles(text: str, words: int = 5) -> np.ndarray:
+    """Hashes of the distinct word shingles, ascending; no words: none."""
     from xxhash import xxh64_intdigest as h
 
     w = text.encode("utf-8", "surrogatepass").lower().split()
-    if not w:
-        return np.zeros(2 * WIDE, np.uint64)
-    n = max(1, len(w) - words + 1)
-    hashes = np.fromiter({h(b" ".join(w[i : i + words]), 42) for i in range(n)}, np.uint64)
-    out = np.empty(2 * WIDE, np.uint64)
+    n = max(1, len(w) - words + 1) if w else 0
+    return np.sort(np.fromiter({h(b" ".join(w[i : i + words]), 42) for i in range(n)}, np.uint64))
+
+
+def wide_fingerprint(hashes: np.ndarray) -> np.ndarray:
+    """256 bits of SimHash over shingle hashes, then the least of them under eight seeds; none: zeros."""
+    out = np.zeros(WIDE + KEYS, np.uint64)
+    if not len(hashes):
+        return out
     for k in range(WIDE):
         bits = np.unpackbits(mix(hashes ^ _SEEDS[k]).view(np.uint8).reshape(-1, 8), axis=1)
         out[k] = np.packbits(bits.sum(axis=0, dtype=np.int64) * 2 > len(hashes)).view(np.uint64)[0]
-        out[WIDE + k] = mix(hashes ^ _SEEDS[WIDE + k]).min()
+    for k in range(WIDE, WIDE + KEYS):
+        out[k] = mix(hashes ^ _SEEDS[k]).min()
     return out
 
 
-def _wide_links(distance: int):
-    """As _links(), for rows (slot, key, lo, hi, side, 4 words, node): words differ in ``distance`` bits of 256 at most.
+def alike(x: frozenset, y: frozenset, similarity: float) -> bool:
+    """Whether the Jaccard similarity of two sets reaches ``similarity``."""
+    both = len(x & y)
+    return both >= similarity * (len(x) + len(y) - both) - 1e-9
 
-    Before the sum is looked at, some start on the ring of words must have every chain within its part of the distance.
+
+def _wide_links(distance: int, similarity: float):
+    """As _links(), for rows (slot, key, lo, hi, side, 4 words, size, node, set): the sets' similarity reaches ``similarity``.
+
+    Sizes too far apart rule a pair out, and so do words that differ in more than ``distance`` bits of 256: before the sum is looked
+    at, some start on the ring of words must have every chain within its part of the distance. Sets decide about the rest.
     """
     budget = np.array([l * distance // WIDE for l in range(1, WIDE + 1)])
 
-    def join(group, side, words, node):
+    def join(group, side, words, size_of, node, sets):
         n = len(node)
         size = np.diff(np.append(np.flatnonzero(np.append(True, group[1:] != group[:-1])), n))
         last = np.repeat(np.cumsum(size), size)
@@ -203,10 +221,13 @@ def _wide_links(distance: int):
             live = live[live + s < last[live]]
             a = live[(side[live] < 0) | (side[live] != side[live + s])]
             p, q = label[a], label[a + s]
-            a = a[p != q]
+            least, most = np.minimum(size_of[a], size_of[a + s]), np.maximum(size_of[a], size_of[a + s])
+            ok = (p != q) & (least >= similarity * most - 1e-9)
+            a, few = a[ok], least[ok] < FEW
             diff = np.bitwise_count(words[a] ^ words[a + s]).astype(np.int64)
             chains = np.cumsum(np.concatenate([diff, diff], axis=1)[:, np.arange(WIDE)[:, None] + np.arange(WIDE)], axis=2)
-            a = a[(chains <= budget).all(axis=2).any(axis=1) & (diff.sum(axis=1) <= distance)]
+            a = a[few | (chains <= budget).all(axis=2).any(axis=1) & (diff.sum(axis=1) <= distance)]
+            a = a[np.fromiter((alike(sets(k), sets(k + s), similarity) for k in a.tolist()), bool, len(a))]
             p, q = label[a], label[a + s]
             while (differ := p != q).any():
                 p, q = p[differ], q[differ]
@@ -217,63 +238,89 @@ def _wide_links(distance: int):
         return [(int(node[k]), int(node[label[k]])) for k in np.flatnonzero(label != np.arange(n))]
 
     def run(batches_):
-        held: list[np.ndarray] = []
+        held: list[tuple[np.ndarray, pa.Array]] = []
 
-        def emit(rows):
+        def emit(rows, sets):
             group = np.cumsum(np.append(False, (rows[1:, :4] != rows[:-1, :4]).any(axis=1)))
-            found = join(group, rows[:, 4], np.ascontiguousarray(rows[:, 5 : 5 + WIDE]).view(np.uint64), rows[:, 5 + WIDE])
+            of = lru_cache(2 * BLOCK)(lambda k: frozenset(np.frombuffer(sets[k].as_buffer(), np.uint64).tolist()))
+            found = join(group, rows[:, 4], np.ascontiguousarray(rows[:, 5 : 5 + WIDE]).view(np.uint64), rows[:, 5 + WIDE], rows[:, 6 + WIDE], of)
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], names=["a", "b"])
 
         for batch in batches_:
-            rows = np.concatenate([*held, np.stack([c.cast(pa.int64()).to_numpy() for c in batch.columns], axis=1)])
-            if not len(rows):
+            if not batch.num_rows:
                 continue
-            other = (rows[:, :4] != rows[-1, :4]).any(axis=1)
-            opened = len(rows) - int(np.argmax(other[::-1])) if other.any() else 0
-            if opened:
-                yield from emit(rows[:opened])
-            held = [rows[opened:]]
-        if held and len(held[0]):
-            yield from emit(held[0])
+            held.append((np.stack([c.cast(pa.int64()).to_numpy() for c in batch.columns[:-1]], axis=1), batch.column(batch.num_columns - 1).cast(pa.large_binary())))
+            if (held[0][0][0, :4] == held[-1][0][-1, :4]).all():
+                continue  # one group so far
+            rows, sets = np.concatenate([r for r, _ in held]), pa.chunked_array([x for _, x in held])
+            opened = len(rows) - int(np.argmax((rows[::-1, :4] != rows[-1, :4]).any(axis=1)))
+            yield from emit(rows[:opened], pa.concat_arrays(sets[:opened].chunks))
+            held = [(rows[opened:], pa.concat_arrays(sets[opened:].chunks))]
+        if held:
+            yield from emit(np.concatenate([r for r, _ in held]), pa.concat_arrays([x for _, x in held]))
 
     return run
 
 
 def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(doc_id, component_id): documents linked where their SimHash over distinct word shingles tells a Jaccard similarity of ``similarity``.
+    """(doc_id, component_id): documents linked where their sets of word shingles have a Jaccard similarity of ``similarity``.
 
-    Sets with Jaccard similarity s have a cosine of about 2 s / (1 + s) and differ in acos(cosine) / pi of the bits; the distance
-    allowed is that of 256 bits plus one standard error, so few that reach the similarity are lost. At such a distance no exact part of a
-    fingerprint is long enough to index by, so candidates are those that agree in one of four least shingle hashes (they do with
-    a chance of 1 - (1 - s) ** 4), dealt out and linked as in links().
+    Equal sets are one node. Candidates are nodes that agree in one of eight least shingle hashes (at a similarity of s they do with a
+    chance of 1 - (1 - s) ** 8), dealt out and linked as in links(). Sets with Jaccard similarity s have a cosine of about
+    2 s / (1 + s) and differ in acos(cosine) / pi of their SimHash bits; that distance of 256 bits plus five standard errors is a
+    filter, which loses fewer than one pair in a million. What passes is settled by the sets themselves, before links
+    are thinned to a forest. Shingles are read again from the texts of nodes that have a candidate, and move with those alone.
     """
     share = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
-    distance = int(256 * share + (256 * share * (1 - share)) ** 0.5)
-    names = [f"w{k}" for k in range(WIDE)] + [f"k{k}" for k in range(WIDE)]
+    distance = int(256 * share + MARGIN * (256 * share * (1 - share)) ** 0.5)
+    names = ["node", "size", *(f"w{k}" for k in range(WIDE)), *(f"k{k}" for k in range(KEYS))]
+    wide = names[2 : 2 + WIDE]
 
-    def run(batches_):
+    def prints_(batches_):
+        from xxhash import xxh64_intdigest as h
+
+        for batch in batches_:
+            found = np.empty((batch.num_rows, len(names)), np.uint64)
+            for k, t in enumerate(batch.column(2)):
+                hashes = shingles(t.as_py(), words)
+                found[k, 0], found[k, 1], found[k, 2:] = h(hashes.tobytes(), 42), len(hashes), wide_fingerprint(hashes)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(np.ascontiguousarray(c)) for c in found.view(np.int64).T)], names=["doc_id", "row", *names])
+
+    def sets_(batches_):
         for batch in batches_:
-            found = np.array([wide_fingerprint(t.as_py(), words) for t in batch.column(1)], np.uint64).reshape(-1, 2 * WIDE).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.ascontiguousarray(found[:, k])) for k in range(2 * WIDE))], names=["doc_id", *names])
-
-    prints = cut(docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text")).mapInArrow(run, "doc_id long, " + ", ".join(f"{n} long" for n in names)))
-    wide = names[:WIDE]
-    nodes = cut(prints.filter("doc_id is not null").groupBy(*wide).agg(F.min("doc_id").alias("node"), *(F.min(k).alias(k) for k in names[WIDE:])))
-    keys = F.array(*(F.struct(F.lit(k).alias("slot"), F.col(f"k{k}").alias("key")) for k in range(WIDE)))
-    keyed = nodes.select("node", *wide, F.explode(keys).alias("k")).select("k.*", "node", *wide)
-    crowded = keyed.groupBy("slot", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+            at = batch.schema.get_field_index("text")
+            found = pa.array([shingles(t.as_py(), words).tobytes() for t in batch.column(at)], pa.binary())
+            yield batch.set_column(at, "hashes", found)
+
+    rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64(F.col("doc_id").cast("long"), text_or_empty()).alias("row"), text_or_empty().alias("text"))
+    prints = cut(rows.mapInArrow(prints_, "doc_id long, row long, " + ", ".join(f"{n} long" for n in names)))
+    known = prints.filter("doc_id is not null")
+    nodes = cut(known.groupBy("node").agg(*(F.min(k).alias(k) for k in ["row", *names[1:]])))
+    keys = F.array(*(F.struct(F.lit(k).alias("slot"), F.col(f"k{k}").alias("key")) for k in range(KEYS)))
+    keyed = nodes.select("node", "size", F.explode(keys).alias("k")).select("k.*", "node", "size")
+    crowded = keyed.groupBy("slot", "key").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("weight")).filter("n > 1")
+    places = (
+        keyed.drop("size").join(crowded, ["slot", "key"])
+        .withColumn("blocks", F.ceil(F.greatest(F.col("n") / BLOCK, F.col("weight") / SHINGLES, F.lit(1))).cast("int"))
+        .groupBy("node")
+        .agg(F.collect_list(F.struct("slot", "key", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("own"))).alias("places"))
+        .join(nodes.select("node", "row", "size", *wide), "node")
+    )
+    # a row's hash names one text; repeated rows of a document are one
+    texts = rows.select("row", "text").join(places, "row").dropDuplicates(["row"]).select("node", "size", *wide, "places", "text")
+    schema = texts.select("node", "size", *wide, "places", F.lit(b"").alias("hashes")).schema
     dealt = (
-        keyed.join(crowded, ["slot", "key"])
-        .withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
-        .withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("slot", "key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), F.when(F.col("own") == F.col("other"), -1).otherwise((F.col("own") > F.col("other")).cast("int")).alias("side"), *wide, "node")
+        texts.mapInArrow(sets_, schema)
+        .withColumn("p", F.explode("places"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("p.blocks") - 1)))
+        .withColumn("own", F.col("p.own"))
+        .select("p.slot", "p.key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), F.when(F.col("own") == F.col("other"), -1).otherwise((F.col("own") > F.col("other")).cast("int")).alias("side"), *wide, "size", "node", "hashes")
     )
     group = ["slot", "key", "lo", "hi"]
-    found = dealt.repartition(shuffle_partitions(docs.sparkSession), *group).sortWithinPartitions(*group).mapInArrow(_wide_links(distance), "a long, b long")
-    labelled = nodes.join(components(found), "node", "left").select(*wide, F.coalesce("label", "node").alias("component_id"))
-    return prints.filter("doc_id is not null").join(labelled, wide).select("doc_id", "component_id")
+    found = dealt.repartition(shuffle_partitions(docs.sparkSession), *group).sortWithinPartitions(*group).mapInArrow(_wide_links(distance, similarity), "a long, b long")
+    labelled = cut(known.select("doc_id", "node").join(components(found), "node", "left").select("doc_id", F.coalesce("label", "node").alias("label")))
+    return labelled.join(labelled.groupBy("label").agg(F.min("doc_id").alias("component_id")), "label").select("doc_id", "component_id")
 
 
 def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:

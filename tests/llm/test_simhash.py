@@ -140,3 +140,45 @@ def test_similar_groups(spark):
         assert [of[b + k] for k in range(4)] == [b, b, b, b + 3]
     kept = simhash.one_of_each(docs)
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {k for k in range(240) if k % 4 in (0, 3)}
+
+
+def naive_groups(texts, similarity=0.8):
+    """[text] -> index of the first text reachable over pairs whose Jaccard similarity reaches ``similarity``."""
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in (t.lower().split() for t in texts)]
+    label = list(range(len(texts)))
+
+    def root(k):
+        while label[k] != k:
+            k = label[k]
+        return k
+
+    for i in range(len(texts)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if sets[i] == sets[j] or both * 1000 >= round(similarity * 1000) * len(sets[i] | sets[j]):
+                low, high = sorted((root(i), root(j)))
+                label[high] = low
+    return [root(k) for k in range(len(texts))]
+
+
+@pytest.mark.parametrize(("block", "weight"), [(4096, 1 << 21), (5, 600)])
+def test_similar_groups_near_the_threshold(spark, monkeypatch, block, weight):
+    monkeypatch.setattr(simhash, "BLOCK", block)
+    monkeypatch.setattr(simhash, "SHINGLES", weight)
+    rng = random.Random(8)
+    texts, seen = ["", "one", "one", "one two", " \t"], []
+    for size in [184] * 100 + [8, 10, 12, 14] * 40:
+        base = [rng.choice(WORDS) + str(rng.randrange(10**5)) for _ in range(size)]
+        # words cut at the end: j of size - 4 shingles are left
+        for similarity in (rng.uniform(0.6, 0.9), 0.8):
+            left = max(1, round(similarity * (size - 4)))
+            texts += [" ".join(base), " ".join(base[: left + 4])]
+            seen.append(left / (size - 4))
+    for hub in range(4):  # many texts around one passage, most of them unlike each other
+        passage = [rng.choice(WORDS) + str(rng.randrange(10**5)) for _ in range(60)]
+        texts += [" ".join(passage + [f"t{rng.randrange(10**6)}" for _ in range(rng.choice([5, 8, 30]))]) for _ in range(30)]
+    assert min(seen) < 0.62 and max(seen) > 0.88 and sum(0.79 < x < 0.81 for x in seen) > 50
+    order = list(range(len(texts)))
+    docs = spark.createDataFrame([(k, texts[k]) for k in order], "doc_id long, text string").repartition(3)
+    of = {r.doc_id: r.component_id for r in simhash.similar_groups(docs).collect()}
+    assert [of[k] for k in order] == naive_groups(texts)
