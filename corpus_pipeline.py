@@ -4,7 +4,7 @@ Each stage is a function (spark, docs, sf_dir) -> DataFrame whose result is writ
 the last return the columns of ``documents``:
 
 1. quality_classifier: documents that the classifier rejects go.
-2. line_dedup: lines of repeated runs go from all but their first place.
+2. line_dedup: repeated lines, alone or in runs, go from all but their first place.
 3. simhash_near_dedup: of each group of near copies (five-word shingles, similarity 0.8) the smallest doc_id stays.
 4. source_mixing: a document comes as often as the mix of sources takes it (0, 1 or 2 rows).
 5. best_fit_packing: one row for each piece of each copy, with its sequence and place.
@@ -24,7 +24,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return linededup.dedup_lines(docs)
+    return linededup.dedup_lines(docs, min_lines=1)
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

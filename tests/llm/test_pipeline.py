@@ -23,6 +23,12 @@ def test_stages(spark, tmp_path):
     assert sorted(map(tuple, pieces.select("doc_id", "piece", "start", "length").collect())) == sorted(map(tuple, pipeline.run(spark, small).select("doc_id", "piece", "start", "length").collect()))
 
 
+def test_short_lines_between_others_go(spark):
+    docs = spark.createDataFrame([(k, f"only in {k}\nshare this page\nalso only in {k}") for k in range(4)], "doc_id long, text string")
+    out = {r.doc_id: r.text for r in pipeline.line_dedup(spark, docs, "").collect()}
+    assert out == {k: f"only in {k}\nshare this page\nalso only in {k}" if k == 0 else f"only in {k}\nalso only in {k}" for k in range(4)}
+
+
 def test_entry_without_the_subpackage(monkeypatch):
     for name in [m for m in sys.modules if m.startswith(("spidex.llm", "corpus_pipeline", "__spark_entry__"))]:
         monkeypatch.delitem(sys.modules, name)
