@@ -5,17 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-DAMPING, MOST_ROUNDS, TOLERANCE = 0.85, 50, 1e-6
-
+from spidex.operators.lineage import cut
 
-def _cut(df: DataFrame) -> DataFrame:
-    """Materialised in the session's checkpoint folder, which outlives executors; one is set where there is none (tests)."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        import tempfile
-
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spidex-checkpoint-"))
-    return df.checkpoint(eager=True)
+DAMPING, MOST_ROUNDS, TOLERANCE = 0.85, 50, 1e-6
 
 
 def out_degrees(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -31,18 +23,18 @@ def pagerank(vertices: DataFrame, edges: DataFrame, damping: float = DAMPING, ma
     comes from pages without links, and targets outside the vertices have only what they are given. Rounds end when the
     vertices' scores move less than ``tolerance`` in all. Edges are weighed and dealt by source once.
     """
-    v = _cut(vertices.select("id").filter("id is not null").distinct())
+    v = cut(vertices.select("id").filter("id is not null").distinct())
     n = v.count()
     if not n:
         return v.sparkSession.createDataFrame([], "id string, score double").select(F.col("id").cast(v.schema["id"].dataType), "score")
     distinct, degree = out_degrees(edges)
-    weighed = _cut(distinct.join(degree, "src").join(v.withColumnRenamed("id", "src"), "src", "left_semi").select("src", "dst", (F.lit(damping) / F.col("degree")).alias("w")))
-    scores = _cut(v.withColumn("score", F.lit(1.0 / n)).withColumn("inside", F.lit(True)))
+    weighed = cut(distinct.join(degree, "src").join(v.withColumnRenamed("id", "src"), "src", "left_semi").select("src", "dst", (F.lit(damping) / F.col("degree")).alias("w")))
+    scores = cut(v.withColumn("score", F.lit(1.0 / n)).withColumn("inside", F.lit(True)))
     for _ in range(max_iter):
         given = weighed.join(scores.filter("inside").select(F.col("id").alias("src"), "score"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("w") * F.col("score")).alias("given"))
         joined = scores.filter("inside").select("id", F.col("score").alias("old"), "inside").join(given, "id", "full_outer")
         new = joined.select("id", (F.when(F.col("inside"), 1 - damping).otherwise(0.0) + F.coalesce("given", F.lit(0.0))).alias("score"), F.coalesce("inside", F.lit(False)).alias("inside"), "old")
-        scores = _cut(new)
+        scores = cut(new)
         if tolerance and (scores.filter("inside").agg(F.sum(F.abs(F.col("score") - F.col("old")))).first()[0] or 0.0) < tolerance:
             break
     return scores.select("id", "score")

@@ -39,9 +39,10 @@ def live_only(rows: DataFrame, live: DataFrame) -> DataFrame:
     return rows.join(live.select("doc_id", "segment_id"), ["doc_id", "segment_id"], "left_semi")
 
 
-def bm25f(postings: DataFrame, lengths: DataFrame, live: DataFrame, terms: list[str], candidates: DataFrame | None = None, stats: str = "code") -> DataFrame:
+def bm25f(postings: DataFrame, lengths: DataFrame, live: DataFrame, terms: list[str], candidates: DataFrame | None = None, stats: str = "code", corpus: DataFrame | None = None) -> DataFrame:
     """(doc_id, score) of each live document with a term.
 
+    corpus: corpus_stats() of all copies where they are known, as a store's manifest does; else lengths are read as a whole for them.
     stats: ``code`` counts stale copies in the number of documents, averages and frequencies, ``live`` doesn't. Only postings of
     the terms are read (the predicate reaches the scan, whose row groups are sorted by term).
     """
@@ -50,7 +51,8 @@ def bm25f(postings: DataFrame, lengths: DataFrame, live: DataFrame, terms: list[
     alive = live_only(matching, live)
     counted, measured = (alive, live_only(lengths, live)) if stats == "live" else (matching, lengths)
     # one row, and one row a query term
-    corpus, frequencies = F.broadcast(corpus_stats(measured)), F.broadcast(doc_freq(counted))
+    known = corpus is not None and stats == "code"
+    corpus, frequencies = F.broadcast(corpus if known else corpus_stats(measured)), F.broadcast(doc_freq(counted))
     rows = alive if candidates is None else alive.join(candidates.select("doc_id").distinct(), "doc_id", "left_semi")
     rows = rows.join(lengths.select("segment_id", "doc_id", "title_len", "text_len"), ["segment_id", "doc_id"], "left").join(frequencies, "term").crossJoin(corpus)
     pseudo = TITLE_WEIGHT * F.col("title_tf") / (1 - TITLE_B + TITLE_B * _norm("title_len", "avg_title_len")) + TEXT_WEIGHT * F.col("text_tf") / (1 - TEXT_B + TEXT_B * _norm("text_len", "avg_text_len"))
@@ -94,13 +96,18 @@ def phrase_matches(postings: DataFrame, terms: list[str], live: DataFrame | None
     return starts.filter(F.col("n") == len(terms)).select("doc_id").distinct()
 
 
+def rank_bounds(ranks: DataFrame) -> DataFrame:
+    """One row (lo, hi): the least and the largest score."""
+    return ranks.agg(F.min("score").alias("lo"), F.max("score").alias("hi"))
+
+
 def link_boost(scores: DataFrame, ranks: DataFrame, boost: str = "code", weight: float = LINK_WEIGHT, key: str = "doc_id") -> DataFrame:
     """Scores times 1 + weight * x; x is the rank's place between the least and the largest on a log scale.
 
     ``code`` counts from the largest (x in -1..0), ``documented`` from the least (0..1). A document without a rank has the least;
     without ranks, or with equal ones, scores stay.
     """
-    bounds = F.broadcast(ranks.agg(F.min("score").alias("_min"), F.max("score").alias("_max")))
+    bounds = F.broadcast(rank_bounds(ranks).toDF("_min", "_max"))
     ranked = scores.join(ranks.select(F.col(ranks.columns[0]).alias(key), F.col("score").alias("_rank")), key, "left").crossJoin(bounds)
     origin = F.col("_max") if boost == "code" else F.col("_min")
     x = (F.log(F.coalesce("_rank", "_min")) - F.log(origin)) / (F.log("_max") - F.log("_min"))
@@ -119,7 +126,7 @@ def top_results(scores: DataFrame, pages: DataFrame, terms: list[str], limit: in
     return joined.orderBy(F.desc("score"), F.asc(key)).select("url", "title", snippet("text", terms).alias("snippet"), "score")
 
 
-def search(query: str, postings: DataFrame, lengths: DataFrame, live: DataFrame, ranks: DataFrame | None, compat: str = "default", boost: str = "code", stats: str = "code") -> tuple[DataFrame, list[str]]:
+def search(query: str, postings: DataFrame, lengths: DataFrame, live: DataFrame, ranks: DataFrame | None, compat: str = "default", boost: str = "code", stats: str = "code", corpus: DataFrame | None = None) -> tuple[DataFrame, list[str]]:
     """Boosted scores (doc_id, score) of a free-text or quoted query, and its terms."""
     if query is None or not query.strip():
         raise ValueError("the query is blank")
@@ -128,7 +135,7 @@ def search(query: str, postings: DataFrame, lengths: DataFrame, live: DataFrame,
         ordered = phrase_terms(query[1:-1], compat)
         if len(set(ordered)) >= 2:
             candidates = phrase_matches(postings, ordered, None if compat == "code" else live)
-    scores = bm25f(postings, lengths, live, terms, candidates, stats)
+    scores = bm25f(postings, lengths, live, terms, candidates, stats, corpus)
     return (scores if ranks is None else link_boost(scores, ranks, boost)), terms
 
 

@@ -2,7 +2,11 @@
 
 root/postings/segment_id=N and root/doc_lengths/segment_id=N hold a segment, sorted by term so that row groups prune; root/tables/NAME/vK
 holds version K of a small table (segments_meta, doc_location, ...). A change writes the next version beside the old one and is there
-once its marker of success is; readers take the newest that has one, so nothing half-written is ever read.
+once its marker of success is; readers take the newest that has one, so nothing half-written is ever read. A store has one writer
+at a time; the last ``KEPT`` versions stay for readers.
+
+One counter gives all ids, of flushes, merges and micro-batches: one more than any that the manifest or a batch in progress has. A
+micro-batch notes its id before it writes, so a replay writes the same segment again, or nothing if it was done.
 """
 
 from __future__ import annotations
@@ -14,7 +18,7 @@ from pyspark.sql import types as T
 
 from spidex import schemas
 
-FORMAT_VERSION, MERGE_AT = 1, 10
+FORMAT_VERSION, MERGE_AT, KEPT = 1, 10, 3
 
 
 class Files:
@@ -74,7 +78,7 @@ class TableStore:
         found = self._versions(name)
         schema = self.tables[name]
         rows.select(*(F.col(f.name).cast(f.dataType) for f in schema)).write.mode("overwrite").parquet(f"{self.root}/tables/{name}/v{(found or [0])[-1] + 1}")
-        for old in found[:-1]:  # the last one may still be read
+        for old in found[: 1 - KEPT]:  # the last ones may still be read
             self.files.delete(f"{self.root}/tables/{name}/v{old}")
 
 
@@ -82,7 +86,7 @@ class SegmentStore:
     def __init__(self, spark: SparkSession, root: str, key: T.DataType = T.StringType()):
         self.spark, self.root, self.key = spark, root.rstrip("/"), key
         location = T.StructType([T.StructField("doc_id", key), T.StructField("segment_id", T.LongType())])
-        self.tables = TableStore(spark, root, {"segments_meta": schemas.SEGMENTS_META, "doc_location": location})
+        self.tables = TableStore(spark, root, {"segments_meta": schemas.SEGMENTS_META, "doc_location": location, "stream_batches": schemas.STREAM_BATCHES})
         self.files = self.tables.files
         self.recover()
 
@@ -102,7 +106,8 @@ class SegmentStore:
         return sorted(r[0] for r in self.meta().select("segment_id").collect())  # one row a segment
 
     def next_id(self) -> int:
-        return max(self.ids(), default=0) + 1
+        begun = self.tables.read("stream_batches").filter("not done").agg(F.max("segment_id")).first()[0] or 0
+        return max(begun, *self.ids(), 0) + 1
 
     def location(self) -> DataFrame:
         return self.tables.read("doc_location")
@@ -120,41 +125,74 @@ class SegmentStore:
         return self._load("postings", schemas.postings(self.key), ids), self._load("doc_lengths", schemas.doc_lengths(self.key), ids)
 
     def validate(self) -> None:
-        """Raises ValueError on an unknown format or a segment whose rows aren't as many as its manifest says."""
+        """Raises ValueError on an unknown format, a segment whose documents aren't as many as its manifest says, or postings that don't add up to their documents' lengths."""
         bad = self.meta().filter(F.coalesce(F.col("format_version"), F.lit(-1)) != FORMAT_VERSION).select("segment_id").first()
         if bad:
             raise ValueError(f"segment {bad[0]} has another format")
-        counts = self.active()[1].groupBy("segment_id").agg(F.count(F.lit(1)).alias("n"))
+        postings, lengths = self.active()
+        counts = lengths.groupBy("segment_id").agg(F.count(F.lit(1)).alias("n"))
         wrong = self.meta().join(counts, "segment_id", "left").filter(F.coalesce("n", F.lit(0)) != F.coalesce("doc_count", F.lit(-1))).first()
         if wrong:
             raise ValueError(f"segment {wrong['segment_id']} has {wrong['n']} documents, not {wrong['doc_count']}")
-
-    def _write(self, segment_id: int, postings: DataFrame, lengths: DataFrame) -> int:
+        sums = postings.groupBy("segment_id", "doc_id").agg(F.sum("title_tf").alias("t"), F.sum("text_tf").alias("x"), F.bool_and(F.size("positions") == F.col("text_tf")).alias("whole"))
+        fits = F.col("whole") & (F.col("t") == F.col("title_len")) & (F.col("x") == F.col("text_len"))
+        empty = F.col("t").isNull() & (F.col("title_len") == 0) & (F.col("text_len") == 0)
+        odd = sums.join(lengths, ["segment_id", "doc_id"], "full_outer").filter(~F.coalesce(fits, empty, F.lit(False))).first()
+        if odd:
+            raise ValueError(f"segment {odd['segment_id']} has postings that don't fit document {odd['doc_id']}")
+
+    def _write(self, segment_id: int, postings: DataFrame, lengths: DataFrame) -> tuple[int, int, int, int]:
+        """Writes a segment's files; its row of the manifest."""
         p, d = f"{self.root}/postings/segment_id={segment_id}", f"{self.root}/doc_lengths/segment_id={segment_id}"
         lengths.select("doc_id", "title_len", "text_len").write.mode("overwrite").parquet(d)
         ordered = postings.select("term", "doc_id", "title_tf", "text_tf", "positions").repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id")
         ordered.write.mode("overwrite").parquet(p)
-        return self.spark.read.parquet(d).count()
+        return (segment_id, *self.spark.read.parquet(d).agg(F.count(F.lit(1)), F.coalesce(F.sum("title_len"), F.lit(0)), F.coalesce(F.sum("text_len"), F.lit(0))).first())
 
-    def _publish(self, keep: list[int], new: list[tuple[int, int]]) -> None:
-        rows = [(i, FORMAT_VERSION, n) for i, n in new]
+    def _publish(self, keep: list[int], new: list[tuple]) -> None:
+        """The manifest: rows of ``keep``, and of new segments (id, documents[, title tokens, text tokens])."""
+        rows = [(i, FORMAT_VERSION, n, *(sums or (None, None))) for i, n, *sums in new]
         self.tables.write("segments_meta", self.meta().filter(F.col("segment_id").isin(keep)).unionByName(self.spark.createDataFrame(rows, schemas.SEGMENTS_META)))
 
-    def flush(self, postings: DataFrame, lengths: DataFrame, segment_id: int | None = None) -> int | None:
+    def corpus(self) -> DataFrame:
+        """corpus_stats() of all segments from the manifest alone."""
+        n = F.sum("doc_count")
+        average = lambda c: F.coalesce(F.sum(c) / F.nullif(n, F.lit(0)), F.lit(0.0))
+        return self.meta().agg(F.coalesce(n, F.lit(0)).alias("total_docs"), average("title_total").alias("avg_title_len"), average("text_total").alias("avg_text_len"))
+
+    def flush(self, postings: DataFrame, lengths: DataFrame, segment_id: int | None = None, again: bool = False) -> int | None:
         """The id of the new segment, which then holds the live copies of its documents; None, and nothing written, without documents.
 
-        A given id that exists is written again: a repeated micro-batch changes nothing.
+        A given id that the manifest has is an error, or with ``again`` written anew.
         """
         if lengths.isEmpty():
             return None
+        ids = self.ids()
         segment_id = self.next_id() if segment_id is None else segment_id
-        n = self._write(segment_id, postings, lengths)
-        keep = [i for i in self.ids() if i != segment_id]
-        self._publish(keep, [(segment_id, n)])
+        if segment_id in ids and not again:
+            raise FileExistsError(f"segment {segment_id} exists")
+        made = self._write(segment_id, postings, lengths)
+        self._publish([i for i in ids if i != segment_id], [made])
         written = self._load("doc_lengths", schemas.doc_lengths(self.key), [segment_id])
         self.tables.write("doc_location", upsert(self.location(), written.select("doc_id", "segment_id"), ["doc_id"]))
         return segment_id
 
+    def flush_batch(self, stream: str, batch_id: int, postings: DataFrame, lengths: DataFrame, least_id: int = 1) -> int | None:
+        """flush() once for each batch of a stream, however often it is called; None where the batch is empty or was done."""
+        last = self.tables.read("stream_batches").filter(F.col("stream") == stream).first()  # one row a stream
+        if last and (last["batch_id"] > batch_id or last["batch_id"] == batch_id and last["done"]):
+            return None
+        replay = last is not None and last["batch_id"] == batch_id
+        segment_id = last["segment_id"] if replay else max(self.next_id(), least_id)
+        self._note(stream, batch_id, segment_id, False)
+        made = self.flush(postings, lengths, segment_id, again=replay)
+        self._note(stream, batch_id, segment_id, True)
+        return made
+
+    def _note(self, stream: str, batch_id: int, segment_id: int, done: bool) -> None:
+        row = self.spark.createDataFrame([(stream, batch_id, segment_id, done)], schemas.STREAM_BATCHES)
+        self.tables.write("stream_batches", upsert(self.tables.read("stream_batches"), row, ["stream"]))
+
     def merged(self, ids: list[int], segment_id: int) -> tuple[DataFrame, DataFrame]:
         """Live rows of some segments under a new id."""
         postings, lengths = self.active(ids)
@@ -165,19 +203,21 @@ class SegmentStore:
     def replace(self, ids: list[int], segment_id: int) -> dict:
         """Merge segments: written first, then named by the manifest, live copies repointed, inputs deleted last."""
         before = self.active(ids)[1].count()
-        n = self._write(segment_id, *self.merged(ids, segment_id))
-        self._publish([i for i in self.ids() if i not in ids], [(segment_id, n)])
+        if segment_id in self.ids():
+            raise FileExistsError(f"segment {segment_id} exists")
+        made = self._write(segment_id, *self.merged(ids, segment_id))
+        self._publish([i for i in self.ids() if i not in ids], [made])
         moved = F.when(F.col("segment_id").isin(ids), F.lit(segment_id).cast("long")).otherwise(F.col("segment_id"))
         self.tables.write("doc_location", self.location().withColumn("segment_id", moved))
         for i in ids:
             for kind in ("postings", "doc_lengths"):
                 self.files.delete(f"{self.root}/{kind}/segment_id={i}")
-        return {"segment_id": segment_id, "documents": n, "stale_copies": before - n}
+        return {"segment_id": segment_id, "documents": made[1], "stale_copies": before - made[1]}
 
     def maybe_merge(self, trigger: int = MERGE_AT) -> dict | None:
         """Merge all segments once there are ``trigger``; what came of it."""
         ids = self.ids()
-        return self.replace(ids, max(ids) + 1) if len(ids) >= trigger else None
+        return self.replace(ids, self.next_id()) if len(ids) >= trigger else None
 
     def forget(self, doc_ids: DataFrame) -> None:
         """Documents (doc_id) without a live copy from now on."""

@@ -21,7 +21,8 @@ PAGE_LINK = _table(("id", _L), ("source_page_id", _S), ("target_url", _S), ("tar
 DOC_LOCATION = _table(("doc_id", _S), ("segment_id", _L))
 PAGE_RANK = _table(("page_id", _S), ("score", _D))
 SEEN_URLS = _table(("url", _S))
-SEGMENTS_META = _table(("segment_id", _L), ("format_version", _I), ("doc_count", _L))
+SEGMENTS_META = _table(("segment_id", _L), ("format_version", _I), ("doc_count", _L), ("title_total", _L), ("text_total", _L))
+STREAM_BATCHES = _table(("stream", _S), ("batch_id", _L), ("segment_id", _L), ("done", T.BooleanType()))
 ROBOTS_RULES = _table(("disallow", T.ArrayType(_S)), ("allow", T.ArrayType(_S)), ("crawl_delay_s", _I))
 LINK = _table(("ord", _I), ("href", _S), ("anchor", _S))
 PARSED_PAGE = _table(("title", _S), ("text", _S), ("description", _S), ("canonical_url", _S), ("language", _S), ("links", T.ArrayType(LINK)))

@@ -14,20 +14,25 @@ def unseen_stream(urls: DataFrame, column: str = "url") -> DataFrame:
     return urls.dropDuplicates([column])
 
 
-def index_stream(pages: DataFrame, store: SegmentStore, first_segment: int | None = None, order: str | None = None, merge_at: int | None = MERGE_AT) -> DataStreamWriter:
+def index_stream(pages: DataFrame, store: SegmentStore, first_segment: int | None = None, order: str | None = None, merge_at: int | None = MERGE_AT, name: str | None = None) -> DataStreamWriter:
     """A writer of ``pages`` (doc_id, title, text[, order]) into ``store``.
 
-    The segment of a batch is named after the batch, so one that is repeated after a failure overwrites itself. Within a batch the latest copy of a
-    document wins where ``order`` is given, else any one.
+    A batch takes the store's next id, ``first_segment`` at least, and is written once however often it is replayed: the store notes the last batch of
+    each stream under ``name``, by default the query's id, which its checkpoint keeps. Segments are merged once there are ``merge_at`` (None: never).
+    Within a batch the latest copy of a document wins where ``order`` is given, else any one.
     """
-    base = store.next_id() if first_segment is None else first_segment
 
     def take(batch: DataFrame, batch_id: int) -> None:
+        stream = name or batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+        if stream is None:
+            raise ValueError("the stream has no id: give it a name")
         one = latest(batch, ["doc_id"], order) if order else batch.dropDuplicates(["doc_id"])
         one = one.persist()  # read for postings and for lengths
         try:
-            store.flush(*build_segment(one), segment_id=base + batch_id)
+            store.flush_batch(stream, batch_id, *build_segment(one), least_id=first_segment or 1)
         finally:
             one.unpersist()
+        if merge_at is not None:
+            store.maybe_merge(merge_at)
 
     return pages.writeStream.foreachBatch(take)
