@@ -8,8 +8,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spidex import schemas
+from spidex.functions.robots import stale_hosts
+from spidex.functions.urls import host_of
 from spidex.operators import frontier, rank, search
 from spidex.operators.index import build_segment
+from spidex.operators.lineage import cut
 from spidex.operators.segments import MERGE_AT, SegmentStore, TableStore, upsert
 from spidex.sources.tables import seed_rows
 
@@ -25,19 +28,26 @@ class Engine:
 
     @staticmethod
     def _now(now: Column | None) -> Column:
-        return F.current_timestamp() if now is None else now
+        """One moment for all jobs of a step."""
+        return F.timestamp_micros(F.lit(time.time_ns() // 1000)) if now is None else now
 
     def seed(self, seeds: dict[str, list[str]], now: Column | None = None) -> None:
         domains, queue = seed_rows(self.spark, seeds, self._now(now))
         self.tables.write("domain", upsert(self.tables.read("domain"), domains, ["domain_name"]))
         self.tables.write("pending_crawl", upsert(self.tables.read("pending_crawl"), queue, ["id"]))
 
+    def robots_to_fetch(self, robots: DataFrame, now: Column | None = None) -> DataFrame:
+        """(host) whose robots file the next crawl_step needs anew: due hosts without one, or with one older than a day."""
+        now = self._now(now)
+        due = frontier.due_urls(self.tables.read("pending_crawl"), self.tables.read("domain"), now)
+        return stale_hosts(due.select(host_of("url").alias("host")), robots, now)
+
     def crawl_step(self, fetched: DataFrame, robots: DataFrame, now: Column | None = None, dns: DataFrame | None = None) -> DataFrame:
         """One turn; (id, url, status) of the rows whose turn it was."""
         state = frontier.Frontier(**{k: self.tables.read(t) for k, t in _OF_FRONTIER.items()})
         after = frontier.crawl_step(state, fetched, robots, self._now(now), dns)
-        outcome = rank._cut(after.outcome)
-        staged = {t: rank._cut(getattr(after, k)) for k, t in _OF_FRONTIER.items()}
+        outcome = cut(after.outcome)
+        staged = {t: cut(getattr(after, k)) for k, t in _OF_FRONTIER.items()}
         for name, rows in staged.items():
             self.tables.write(name, rows)
         return outcome
@@ -48,7 +58,7 @@ class Engine:
     def index_batch(self, limit: int = 500) -> int | None:
         """Index pages that wait; the new segment, or None without any."""
         pages = self.tables.read("page_metadata")
-        batch = rank._cut(frontier.pending_pages(pages, limit))
+        batch = cut(frontier.pending_pages(pages, limit))
         made = self.segments.flush(*build_segment(batch, key="id"))
         if made is not None:
             self.tables.write("page_metadata", upsert(pages, batch.withColumn("index_status", F.lit("INDEXED")), ["id"]))
@@ -68,7 +78,7 @@ class Engine:
     def search(self, query: str, limit: int | None = None, **how) -> DataFrame:
         """(url, title, snippet, score): free text, or a phrase in double quotes."""
         postings, lengths = self.segments.active()
-        scores, terms = search.search(query, postings, lengths, self.segments.location(), self.tables.read("page_rank"), **how)
+        scores, terms = search.search(query, postings, lengths, self.segments.location(), self.tables.read("page_rank"), corpus=self.segments.corpus(), **how)
         pages = self.tables.read("page_metadata").withColumnRenamed("id", "doc_id")
         return search.top_results(scores, pages, terms, search.clamp_limit(limit))
 
@@ -78,7 +88,7 @@ class Engine:
     def respond(self, query: str, limit: int | None = None, **how) -> DataFrame:
         """One row of JSON as a service would answer."""
         began = time.monotonic()
-        hits = rank._cut(self.search(query, limit, **how))  # MOST_LIMIT rows at most
+        hits = cut(self.search(query, limit, **how))  # MOST_LIMIT rows at most
         return search.envelope(query, hits, int(1000 * (time.monotonic() - began)))
 
     def reset_index(self) -> None:

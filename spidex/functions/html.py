@@ -14,6 +14,7 @@ from spidex.schemas import PARSED_PAGE
 
 _HIDDEN = {"script", "style", "noscript", "template"}
 _BLOCKS = set("address article aside blockquote br dd div dl dt fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section table td th tr ul body".split())
+LARGEST = 2 * 1024 * 1024  # bytes of a body that are read; the rest is left
 _BLANK = re.compile(r"[ \t\n\f\r\xa0]+")
 
 
@@ -82,9 +83,15 @@ class _Page(HTMLParser):
             return ""
 
 
+def capped(html: str | None, largest: int = LARGEST) -> str:
+    """The body as far as it is read."""
+    html = html or ""
+    return html if 4 * len(html) <= largest or len(data := html.encode("utf-8", "replace")) <= largest else data[:largest].decode("utf-8", "ignore")
+
+
 def parse_page(html: str | None, base: str | None) -> dict:
     page = _Page(base or "")
-    page.feed(html or "")
+    page.feed(capped(html))
     page.close()
     return {
         "title": collapsed("".join(page.title)),

@@ -73,3 +73,10 @@ def robots_for(hosts: DataFrame, robots: DataFrame, now: Column, agent: str = AG
     parsed = latest.select("host", parse_robots(body, agent).alias("rules"), "fetched_at")
     stale = F.col("fetched_at").isNull() | (F.col("fetched_at") + F.expr(f"INTERVAL {LIFETIME_HOURS} HOURS") < now)
     return hosts.join(parsed, "host", "left").withColumn("stale", stale).drop("fetched_at")
+
+
+def stale_hosts(hosts: DataFrame, robots: DataFrame, now: Column) -> DataFrame:
+    """(host) of those whose file is to be fetched (again) before their rules are used: it is missing or older than a day."""
+    fetched = robots.groupBy("host").agg(F.max("fetched_at").alias("fetched_at"))
+    fresh = fetched.filter(F.col("fetched_at") + F.expr(f"INTERVAL {LIFETIME_HOURS} HOURS") >= now)
+    return hosts.select("host").filter("host is not null").distinct().join(fresh, "host", "left_anti")

@@ -37,15 +37,30 @@ def changed(new_hash: Column | str, old_hash: Column | str) -> Column:
 BEFORE, AFTER, NO_HIT = 8, 12, 20
 
 
+def bound(value: Column, body) -> Column:
+    """body(value), with value computed once: inside a lambda, Spark computes an expression again for each element."""
+    return F.transform(F.array(value), body)[0]
+
+
 def snippet(text: Column | str, terms: list[str]) -> Column:
     """The words around the first one that, stripped to a-z and 0-9, is a term; the first words where there is none."""
-    parts = F.split(F.coalesce(_col(text), F.lit("")), r"\s+", -1)
-    # a match at the end leaves one empty string; text that is blank leaves nothing else
-    words = F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0)))).otherwise(parts)
-    words = F.when(F.size(F.filter(words, lambda w: w != "")) == 0, F.array().cast("array<string>")).otherwise(words)
+    text = F.coalesce(_col(text), F.lit(""))
     wanted = F.array(*map(F.lit, terms)) if terms else F.array().cast("array<string>")
-    hits = F.transform(words, lambda w: F.array_contains(wanted, F.regexp_replace(F.lower(w), "[^a-z0-9]", "")))
-    hit = F.array_position(hits, True).cast("int")  # from 1; 0: none
-    first = F.greatest(hit - BEFORE, F.lit(1))
-    around = F.slice(words, first, F.least(F.size(words), hit + AFTER - 1) - first + 1)
-    return F.when(hit > 0, F.concat(F.lit("..."), F.array_join(around, " "), F.lit("..."))).otherwise(F.array_join(F.slice(words, 1, NO_HIT), " "))
+
+    def around(words: Column, hit: Column) -> Column:
+        first = F.greatest(hit - BEFORE, F.lit(1))
+        near = F.slice(words, first, F.least(F.size(words), hit + AFTER - 1) - first + 1)
+        return F.when(hit > 0, F.concat(F.lit("..."), F.array_join(near, " "), F.lit("..."))).otherwise(F.array_join(F.slice(words, 1, NO_HIT), " "))
+
+    def found(words: Column) -> Column:
+        # lower-cased and stripped as one string; a word that is stripped to nothing keeps its place
+        stripped = F.split(F.regexp_replace(F.lower(F.array_join(words, " ")), "[^a-z0-9 ]", ""), " ", -1)
+        hits = F.transform(stripped, lambda w: F.array_contains(wanted, w))
+        return bound(F.array_position(hits, True).cast("int"), lambda hit: around(words, hit))  # from 1; 0: none
+
+    def trimmed(parts: Column) -> Column:
+        # a match at the end leaves one empty string; text that is blank leaves nothing else
+        words = F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0)))).otherwise(parts)
+        return F.when(F.exists(words, lambda w: w != ""), words).otherwise(F.array().cast("array<string>"))
+
+    return bound(bound(F.split(text, r"\s+", -1), trimmed), found)

@@ -106,7 +106,10 @@ def host_of(url: Column | str) -> Column:
 
 
 def path_of(url: Column | str) -> Column:
-    found = F.try_parse_url(F.col(url) if isinstance(url, str) else url, F.lit("PATH"))
+    """The decoded path, as robots rules are written; "/" where there is none."""
+    raw = F.try_parse_url(F.col(url) if isinstance(url, str) else url, F.lit("PATH"))
+    # a plus sign is itself in a path
+    found = F.coalesce(F.try_url_decode(F.replace(raw, F.lit("+"), F.lit("%2B"))), raw)
     return F.when(found.isNull() | (found == ""), F.lit("/")).otherwise(found)
 
 
@@ -120,7 +123,7 @@ def repeats_a_segment(path: Column | str) -> Column:
     return F.exists(segments, lambda s: F.size(F.filter(segments, lambda x: x == s)) > MOST_REPEATS)
 
 
-LOOPBACK = ["localhost", "127.0.0.1", "0.0.0.0", "::1", "[::1]"]
+LOOPBACK = ["localhost", "localhost.localdomain", "ip6-localhost", "ip6-loopback", "127.0.0.1", "0.0.0.0", "::1", "[::1]"]
 METADATA = ["169.254.169.254", "metadata.google.internal", "metadata.goog", "100.100.100.200"]
 
 
@@ -146,11 +149,24 @@ def blocked_address(ip: Column | str) -> Column:
     return _blocked(F.col(ip) if isinstance(ip, str) else ip)
 
 
+def public_literal(host: Column) -> Column:
+    """Whether a host is a name, or an address that is written out and public. A number in another form than four decimals isn't a name."""
+    v4 = F.regexp_extract(host, r"^(?:\[(?:0*:)*:?ffff:)?(\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3})\]?$", 1)
+    octet = F.transform(F.split(v4, r"\."), lambda x: x.cast("int"))
+    a, b = F.get(octet, 0), F.get(octet, 1)
+    inside = a.isin(0, 10, 127) | (a >= 224) | ((a == 172) & b.between(16, 31)) | ((a == 192) & (b == 168)) | ((a == 169) & (b == 254)) | ((a == 100) & b.between(64, 127))
+    v4_public = ~F.exists(octet, lambda x: x > 255) & ~inside & ~host.rlike(r"^0\d|\.0\d")
+    v6_public = host.rlike(r"^\[[23][0-9a-f]{3}:[0-9a-f:.]*\]$")  # 2000::/3 is all that is given out
+    numeric = host.rlike(r"(?:^|\.)(?:0x[0-9a-f]*|\d+)\.?$")
+    return F.when(v4 != "", v4_public).when(host.startswith("["), v6_public).otherwise(~numeric)
+
+
 def literally_safe(url: Column | str) -> Column:
-    """The part of safety that the URL alone tells: exactly https, with a host that is no loopback or metadata name."""
+    """The part of safety that the URL alone tells: exactly https, with a host that is no loopback or metadata name and no address of a private network."""
     c = F.col(url) if isinstance(url, str) else url
     host = host_of(c)
-    return F.coalesce((F.try_parse_url(c, F.lit("PROTOCOL")) == "https") & c.startswith("https:") & host.isNotNull() & ~host.isin(LOOPBACK + METADATA), F.lit(False))
+    named = host.isNotNull() & ~F.regexp_replace(host, r"\.$", "").isin(LOOPBACK + METADATA)
+    return F.coalesce((F.try_parse_url(c, F.lit("PROTOCOL")) == "https") & c.startswith("https:") & named & public_literal(host), F.lit(False))
 
 
 def with_safety(urls: DataFrame, dns: DataFrame | None = None, column: str = "url", into: str = "safe") -> DataFrame:

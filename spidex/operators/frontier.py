@@ -12,6 +12,7 @@ from spidex.functions.html import parse_html
 from spidex.functions.robots import crawl_delay_ms, robots_allowed, robots_for
 from spidex.functions.text import changed, content_hash
 from spidex.functions.urls import host_of, normalize_url, path_of, with_safety
+from spidex.operators.lineage import cut
 from spidex.operators.segments import delete_keys, upsert
 
 PER_DOMAIN, MOST_ATTEMPTS, RETRY_STEP_MS = 5, 3, 2000
@@ -27,12 +28,16 @@ def due(pending: DataFrame, now: Column, max_attempts: int = MOST_ATTEMPTS) -> D
     return pending.filter((F.col("retry_after").isNull() | (F.col("retry_after") <= now)) & (F.col("attempt_count") < max_attempts))
 
 
+def first_of_each(rows: DataFrame, key: str, order: list[str], n: int) -> DataFrame:
+    """The first ``n`` rows of each key; a window that drops the rest before it shuffles."""
+    taken = F.row_number().over(W.partitionBy(key).orderBy(*order))
+    return rows.withColumn("_nth", taken).filter(F.col("_nth") <= n).drop("_nth")
+
+
 def due_urls(pending: DataFrame, domain: DataFrame, now: Column, per_domain: int = PER_DOMAIN, max_attempts: int = MOST_ATTEMPTS) -> DataFrame:
     """The oldest due rows of each domain that may be visited now, ``per_domain`` at most: filters, then the window, as one plan."""
     open_ = domain.filter(F.col("next_available_at") <= now).select(F.col("id").alias("domain_id"))
-    first = W.partitionBy("domain_id").orderBy("created_at", "id")
-    rows = due(pending, now, max_attempts).join(open_, "domain_id", "left_semi")
-    return rows.withColumn("_nth", F.row_number().over(first)).filter(F.col("_nth") <= per_domain).drop("_nth")
+    return first_of_each(due(pending, now, max_attempts).join(open_, "domain_id", "left_semi"), "domain_id", ["created_at", "id"], per_domain)
 
 
 def retry(pending: DataFrame, now: Column) -> DataFrame:
@@ -56,8 +61,7 @@ def page_links(links: DataFrame, dns: DataFrame | None = None, per_page: int = L
     """(source_page_id, target_url, anchor_text, ord): safe links in canonical form, the first anchor of each, the first ``per_page`` of a page."""
     safe = with_safety(links, dns, "href").filter("safe").withColumn("target_url", normalize_url("href")).filter("target_url is not null")
     firsts = safe.groupBy("source_page_id", "target_url").agg(F.min_by("anchor", "ord").alias("anchor_text"), F.min("ord").alias("ord"))
-    nth = F.row_number().over(W.partitionBy("source_page_id").orderBy("ord"))
-    return firsts.withColumn("_nth", nth).filter(F.col("_nth") <= per_page).drop("_nth")
+    return first_of_each(firsts, "source_page_id", ["ord"], per_page)
 
 
 def unseen(urls: DataFrame, seen: DataFrame, column: str = "url") -> DataFrame:
@@ -115,6 +119,7 @@ def enqueue(state: Frontier, found: DataFrame, robots: DataFrame, now: Column) -
         url_id(F.col("url")).alias("id"), "url", "domain_id", F.lit(None).cast("timestamp").alias("retry_after"), F.lit(0).alias("attempt_count"),
         F.lit(None).cast("string").alias("last_error"), now.alias("created_at"), now.alias("updated_at"),
     )
+    rows = cut(rows)
     counts = rows.groupBy(F.col("domain_id").alias("id")).agg(F.count(F.lit(1)).cast("int").alias("_more"))
     more = F.coalesce("_more", F.lit(0))
     domain = (
@@ -134,9 +139,8 @@ def is_page(status: str = "status", kind: str = "content_type") -> Column:
 
 
 def parsed(rows: DataFrame, now: Column) -> DataFrame:
-    """Queue rows with html as rows of page_metadata, and their raw ``links``."""
-    p = rows.withColumn("_p", parse_html("html", "url"))
-    return p.select(
+    """Queue rows with ``_p``, their parsed html, as rows of page_metadata, and their raw ``links``."""
+    return rows.select(
         "id", "url", "domain_id", "_p.title", "_p.text", "_p.description", "_p.canonical_url", F.lit(200).alias("http_status"), "_p.language", content_hash("_p.text").alias("content_hash"),
         now.alias("page_last_updated_at"), F.lit("PENDING").alias("index_status"), now.alias("created_at"), now.alias("updated_at"), F.col("_p.links").alias("links"),
     )
@@ -145,21 +149,25 @@ def parsed(rows: DataFrame, now: Column) -> DataFrame:
 def crawl_step(state: Frontier, fetched: DataFrame, robots: DataFrame, now: Column, dns: DataFrame | None = None, per_domain: int = PER_DOMAIN) -> Frontier:
     """One turn of the crawl. fetched (url, status, content_type, html) stands for the network; a URL without a row has failed.
 
-    outcome (id, url, status): ``done``, ``retry`` or ``disallowed``; done and disallowed rows leave the queue.
+    outcome (id, url, status): ``done``, ``retry`` or ``disallowed``; done and disallowed rows leave the queue. What a turn fetches is read and
+    parsed once and cut, as all tables are made from it; ``now`` should be one moment, not a clock.
     """
     picked = due_urls(state.pending, state.domain, now, per_domain).withColumn("host", host_of("url"))
     rules = robots_for(picked.select("host").distinct(), robots, now)
     answered = picked.join(rules, "host", "left").join(fetched.select("url", "status", "content_type", "html"), "url", "left")
     allowed = F.coalesce(robots_allowed("rules", path_of("url")), F.lit(True))
     verdict = F.when(~allowed, "disallowed").when(F.coalesce(is_page(), F.lit(False)), "done").otherwise("retry")
-    turn = answered.withColumn("verdict", verdict)
+    read = F.col("verdict") == "done"
+    parsed_once = answered.withColumn("verdict", verdict).withColumn("html", F.when(read, F.col("html"))).withColumn("_p", parse_html("html", "url"))
+    turn = cut(parsed_once.select(*state.pending.columns, "verdict", "_p"))
     outcome = turn.select("id", "url", F.col("verdict").alias("status"))
     done = turn.filter("verdict = 'done'")
     pages = parsed(done, now)
     links = page_links(pages.select(F.col("id").alias("source_page_id"), F.explode("links").alias("l")).select("source_page_id", "l.ord", "l.href", "l.anchor"), dns)
+    links = cut(links)
     failed = retry(turn.filter("verdict = 'retry'").select(*state.pending.columns), now)
     left = upsert(delete_keys(state.pending, turn.filter("verdict <> 'retry'"), "id"), failed, ["id"])
-    seen = mark_seen(state.seen, picked)
+    seen = mark_seen(state.seen, turn)
     kept = upsert(state.pages, pages.select(*(F.col(f.name).cast(f.dataType) for f in state.pages.schema)), ["id"])
     after = enqueue(replace(state, pending=left, seen=seen, pages=kept), links, robots, now)
     return replace(after, seen=mark_seen(after.seen, after.pending), outcome=outcome)
