@@ -7,11 +7,12 @@ graph. Scores are rounded to 6 digits on both sides, as sums of doubles differ i
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from spidex.functions import html, robots, text, urls
 from spidex.operators import frontier, index, rank, search, segments
+from spidex.operators.lineage import cut, scratch
 from spidex.sources.tables import fetched_pages, rows_by_key, table
 
 QUERIES: dict = {}
@@ -152,7 +153,7 @@ def link_boost_documented(spark, sf_dir):
 
 @query("SELECT min(1 + n_chars % 9)::DOUBLE AS lo, max(1 + n_chars % 9)::DOUBLE AS hi FROM documents WHERE lang <> 'de'")
 def rank_bounds(spark, sf_dir):
-    return _ranks(spark, sf_dir).agg(F.min("score").alias("lo"), F.max("score").alias("hi"))
+    return search.rank_bounds(_ranks(spark, sf_dir))
 
 
 _SNIPPET = r"""words AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[ \t\n\x0B\f\r]+'), lambda w, i: w <> '' OR i = 1) AS w FROM documents),
@@ -174,7 +175,11 @@ def search_results(spark, sf_dir):
     return search.top_results(scores, pages, terms).withColumn("score", F.round("score", 6))
 
 
-@query()
+@query(f"""WITH {_DOC}, {_POSTINGS}, {_scored(['ther', 'estion'])}, {_SNIPPET},
+best AS (SELECT doc_id, s FROM score ORDER BY s DESC, doc_id LIMIT 10),
+hit AS (SELECT 'doc:' || doc_id AS url, source AS title, snippet, round(s, 6) AS score FROM best JOIN documents USING (doc_id) JOIN snip USING (doc_id)),
+listed AS (SELECT list({{'url': url, 'title': title, 'snippet': snippet, 'score': score}} ORDER BY score DESC, url DESC) AS r FROM hit)
+SELECT to_json({{'query': 'Ther estion', 'resultCount': len(r), 'results': r}})::VARCHAR AS response FROM listed""")
 def search_response(spark, sf_dir):
     return search.envelope("Ther estion", search_results(spark, sf_dir))
 
@@ -230,7 +235,11 @@ def page_titles_langs(spark, sf_dir):
     return _parsed(spark, sf_dir).select("page_id", "p.title", F.col("p.language").alias("lang"))
 
 
-@query()
+_BLOCK_TAGS = "article|br|div|footer|h1|header|li|nav|ol|p|pre|section|table|td|tr|ul|body"
+_BODY_TEXT = f"""trim(regexp_replace(replace(replace({_ENTITIES.format(f"regexp_replace(regexp_replace(regexp_replace(regexp_extract(html, '(?s)</head>(.*)', 1), '(?s)<!--.*?-->', '', 'g'), '</?({_BLOCK_TAGS})( [^>]*)?>', ' ', 'g'), '<[^>]*>', '', 'g')")}, '&copy;', chr(169)), '&middot;', chr(183)), '[ \\t\\n\\f\\r\\x{{a0}}]+', ' ', 'g'), ' ')"""
+
+
+@query(f"""SELECT page_id, {_BODY_TEXT} AS text, '' AS description, '' AS canonical_url, len(regexp_extract_all(html, '<a [^>]*href='))::BIGINT AS n_links FROM pages""")
 def page_contents(spark, sf_dir):
     return _parsed(spark, sf_dir).select("page_id", "p.text", "p.description", "p.canonical_url", F.size("p.links").cast("long").alias("n_links"))
 
@@ -244,7 +253,13 @@ def page_out_links(spark, sf_dir):
     return _parsed(spark, sf_dir).select("page_id", F.explode("p.links.href").alias("target")).groupBy("page_id", "target").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+_LINKS = f"""numbered AS (SELECT page_id, url, {_HOST} AS root, unnest(range(len(xs))) AS k, unnest(xs) AS a FROM (SELECT page_id, url, regexp_extract_all(html, '<a [^>]*href="[^"]*"[^>]*>[^<]*') AS xs FROM pages)),
+link AS (SELECT page_id::VARCHAR AS source_page_id, url, lower(root) || {_ENTITIES.format("regexp_extract(a, 'href=\"([^\"]*)\"', 1)")} AS target_url, {_ENTITIES.format("regexp_extract(a, '>([^<]*)$', 1)")} AS anchor, k FROM numbered WHERE root LIKE 'https://%'),
+found AS (SELECT source_page_id, url, target_url, arg_min(anchor, k) AS anchor_text FROM link GROUP BY ALL)"""
+
+
+@query(f"""WITH {_LINKS}, firsts AS (SELECT target_url, min(source_page_id) AS source_page_id FROM found GROUP BY 1)
+SELECT source_page_id AS src, sha256(target_url) AS dst, anchor_text FROM found JOIN firsts USING (target_url, source_page_id)""")
 def discovery_edges(spark, sf_dir):
     links = _parsed(spark, sf_dir).select(F.col("page_id").cast("string").alias("source_page_id"), F.explode("p.links").alias("l")).select("source_page_id", "l.ord", "l.href", "l.anchor")
     found = frontier.page_links(links)
@@ -311,8 +326,8 @@ def fair_queue_top5(spark, sf_dir):
 
 @query("SELECT o_orderkey, o_custkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS n FROM orders) WHERE n <= 5")
 def fair_orders_top5(spark, sf_dir):
-    first = W.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
-    return table(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_orderdate").withColumn("n", F.row_number().over(first)).filter("n <= 5").select("o_orderkey", "o_custkey")
+    orders = table(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_orderdate")
+    return frontier.first_of_each(orders, "o_custkey", ["o_orderdate", "o_orderkey"], 5).select("o_orderkey", "o_custkey")
 
 
 @query(f"""WITH {_QUEUE} SELECT id, epoch_ms({NOW} + INTERVAL 1 SECOND * (2 * attempts)) AS retry_ms, attempts + 1 AS attempts FROM q""")
@@ -403,8 +418,13 @@ def recrawl_batch(spark, sf_dir):
     return frontier.recrawl_due(pages, F.lit(2000)).select("id")
 
 
-@query()
-def crawl_turn(spark, sf_dir):
+_ALLOWED = "(NOT (starts_with({0}, '/fr') OR starts_with({0}, '/es/5') OR starts_with({0}, '/de/')) OR starts_with({0}, '/de/1') AND NOT starts_with({0}, '/fr'))"
+_TURN = f"""picked AS (SELECT page_id, url, {_ALLOWED.format("regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1)")} AS allowed FROM (SELECT *,
+  row_number() OVER (PARTITION BY lower(regexp_extract(url, '^https?://([^/?#]+)', 1)) ORDER BY sha256(url)) AS n FROM pages) WHERE n <= 5)"""
+
+
+def _crawled(spark, sf_dir) -> frontier.Frontier:
+    """The state after one turn over a queue of all pages, of which nothing was seen before."""
     from spidex import schemas
 
     pages = table(spark, sf_dir, "pages")
@@ -419,5 +439,64 @@ def crawl_turn(spark, sf_dir):
     none = lambda schema: spark.createDataFrame([], schema)
     robots_files = domain.select(F.col("domain_name").alias("host"), F.lit(200).alias("status"), F.lit(ROBOTS).alias("body"), now.alias("fetched_at"))
     state = frontier.Frontier(pending, domain, none(schemas.PAGE_METADATA), none(schemas.PAGE_LINK), none(schemas.SEEN_URLS))
-    after = frontier.crawl_step(state, fetched_pages(pages), robots_files, now)
-    return after.outcome.groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+    return frontier.crawl_step(state, fetched_pages(pages), robots_files, now)
+
+
+@query(f"WITH {_TURN} SELECT url, CASE WHEN allowed THEN 'done' ELSE 'disallowed' END AS status FROM picked")
+def crawl_turn(spark, sf_dir):
+    return _crawled(spark, sf_dir).outcome.select("url", "status")
+
+
+@query(f"""WITH {_LINKS}, {_TURN} SELECT sha256(f.url) AS source_page_id, target_url, anchor_text,
+  {_ALLOWED.format("regexp_extract(target_url, '^https?://[^/?#]+([^?#]*)', 1)")} AND target_url NOT IN (SELECT url FROM picked) AS queued
+FROM found f JOIN picked p ON p.url = f.url AND p.page_id::VARCHAR = f.source_page_id WHERE allowed""")
+def crawl_turn_links(spark, sf_dir):
+    return _crawled(spark, sf_dir).links.select("source_page_id", "target_url", "anchor_text", F.col("target_page_id").isNotNull().alias("queued"))
+
+
+@query("SELECT page_id, url LIKE 'https://%' AND length(regexp_extract(url, '^https?://([^/?#:]+)', 1)) % 4 IN (1, 3) AS safe FROM pages")
+def ssrf_by_address(spark, sf_dir):
+    """Safety with a table of addresses: by the length of its host's name, a page's host is private or public."""
+    rows = table(spark, sf_dir, "pages", "page_id", "url")
+    ips = F.array(*map(F.lit, ["10.0.0.8", "93.184.216.34", "fd00::1", "2606:2800::1"]))
+    dns = rows.select(urls.host_of("url").alias("host")).distinct().withColumn("ip", F.get(ips, F.length("host") % 4))
+    return urls.with_safety(rows, dns).select("page_id", "safe")
+
+
+@query("""WITH o AS (SELECT page_id, page_id * 37 % 256 AS a, page_id * 11 % 256 AS b FROM pages)
+SELECT page_id, NOT (a IN (0, 10, 127) OR a >= 224 OR a = 172 AND b BETWEEN 16 AND 31 OR a = 192 AND b = 168 OR a = 169 AND b = 254 OR a = 100 AND b BETWEEN 64 AND 127) AS safe FROM o""")
+def ssrf_literal_addresses(spark, sf_dir):
+    """Hosts that are addresses, without a table of addresses."""
+    a, b = F.col("page_id") * 37 % 256, F.col("page_id") * 11 % 256
+    rows = table(spark, sf_dir, "pages", "page_id").withColumn("url", F.format_string("https://%d.%d.7.8/x", a, b))
+    return urls.with_safety(rows).select("page_id", "safe")
+
+
+def _stored(spark, sf_dir, root: str) -> segments.SegmentStore:
+    """_two_segments() as a store on disk, merged into a third segment."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", F.col("source").alias("title"), "n_chars", "lang")
+    store = segments.SegmentStore(spark, root, T.LongType())
+    store.flush(*index.build_segment(docs))
+    store.flush(*index.build_segment(docs.filter("n_chars > 1000")))
+    store.forget(docs.filter("lang = 'fr'"))
+    store.maybe_merge(2)
+    return store
+
+
+_LIVE = _DOC + ", live AS (SELECT doc_id FROM documents WHERE lang <> 'fr' OR lang IS NULL)"
+
+
+@query(f"WITH {_LIVE.replace('doc AS (', 'alldoc AS (')}, doc AS (SELECT * FROM alldoc JOIN live USING (doc_id)), {_POSTINGS}, {_scored(TERMS)} SELECT doc_id, round(s, 6) AS score FROM score")
+def segment_store_search(spark, sf_dir):
+    """Two segments written, merged and searched: postings, lengths, live copies and totals are read from the store."""
+    with scratch(spark) as path:
+        store = _stored(spark, sf_dir, path("index"))
+        return cut(_rounded(search.search(" ".join(TERMS), *store.active(), store.location(), None, corpus=store.corpus())[0]))
+
+
+@query(f"WITH {_LIVE.replace('doc AS (', 'alldoc AS (')}, doc AS (SELECT * FROM alldoc JOIN live USING (doc_id)), {_POSTINGS} SELECT 3::BIGINT AS segment_id, term, count(*) AS docs, sum(title_tf)::BIGINT AS title_tf, sum(text_tf)::BIGINT AS text_tf FROM post GROUP BY term")
+def segment_store_merge(spark, sf_dir):
+    """The postings of a merged segment, as they were written."""
+    with scratch(spark) as path:
+        postings = _stored(spark, sf_dir, path("index")).active()[0]
+        return cut(postings.groupBy("segment_id", "term").agg(F.count(F.lit(1)).alias("docs"), F.sum("title_tf").alias("title_tf"), F.sum("text_tf").alias("text_tf")))

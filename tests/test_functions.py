@@ -151,3 +151,21 @@ def test_html(spark):
     frame = spark.createDataFrame([(page, "https://h.test/dir/p"), (None, None), ("", "x"), ("<p>broken <", "http://h.test/")], "html string, url string")
     rows = [r.p for r in frame.select(html.parse_html("html", "url").alias("p")).collect()]
     assert rows[0].title == "A & B" and len(rows[0].links) == 2 and rows[1].text == rows[2].text == "" and rows[3].text.startswith("broken")
+
+
+def test_written_out_addresses(spark):
+    bad = "10.0.0.5 192.168.1.1 127.0.0.2 172.31.0.1 100.64.0.1 224.0.0.1 0.1.2.3 300.1.1.1 010.8.8.8 2130706433 0x7f.1 127.1 [fd00::1] [::1] [fe80::1] [::ffff:10.0.0.1] localhost.localdomain ip6-loopback localhost."
+    good = "8.8.8.8 100.128.0.1 172.32.0.1 [2606:2800::1] [::ffff:8.8.8.8] a1.test 1a.test"
+    rows = [(h, False) for h in bad.split()] + [(h, True) for h in good.split()]
+    df = urls.with_safety(spark.createDataFrame([(f"https://{h}/x", ok) for h, ok in rows], "url string, ok boolean"))
+    assert df.filter("safe <> ok").select("url").collect() == []
+
+
+def test_robots_see_decoded_paths(spark):
+    rows = spark.createDataFrame([("https://x.test/a%20b/c",), ("https://x.test/a+b",), ("https://x.test/%zz",), ("https://x.test",)], "url string")
+    assert [r.p for r in rows.select(urls.path_of("url").alias("p")).collect()] == ["/a b/c", "/a+b", "/", "/"]  # the third is no URL
+
+
+def test_bodies_are_read_to_two_mebibytes():
+    page = html.parse_page("é" * (html.LARGEST // 2) + "more", None)
+    assert len(page["text"]) == html.LARGEST // 2 and html.capped("short é") == "short é"

@@ -205,3 +205,51 @@ def test_streaming(spark, tmp_path):
     q = urls.writeStream.format("memory").queryName("seen_once").option("checkpointLocation", f"file://{tmp_path}/cp2").trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.sql("select * from seen_once").count() == 2
+
+
+def test_streaming_with_merges_and_replays(spark, tmp_path):
+    store = SegmentStore(spark, f"file://{tmp_path}/index")
+    inbox = tmp_path / "in"
+    schema = "doc_id string, title string, text string"
+
+    def drain(k):
+        spark.createDataFrame([(f"d{k}", "", f"word{k} all")], schema).coalesce(1).write.mode("append").parquet(f"file://{inbox}")
+        index_stream(spark.readStream.schema(schema).parquet(f"file://{inbox}"), store, merge_at=3).option("checkpointLocation", f"file://{tmp_path}/cp").trigger(availableNow=True).start().awaitTermination()
+
+    for k in range(4):
+        drain(k)
+    # the third batch merged 1, 2 and 3 into 4, so the fourth is 5
+    assert store.ids() == [4, 5] and location(store) == {"d0": 4, "d1": 4, "d2": 4, "d3": 5}
+    stream, batch = store.tables.read("stream_batches").select("stream", "batch_id").first()
+    assert store.flush_batch(stream, batch, *make(spark, [("other", "", "x")], 1)) is None and "other" not in location(store)
+    # a batch that ended between its note and its manifest is written again under the id it had, though a merge came between
+    store._note("s", 7, store.next_id(), False)
+    assert store.next_id() == 7 and store.maybe_merge(2)["segment_id"] == 7
+    assert store.flush_batch("s", 7, *make(spark, [("late", "", "x")], 1)) == 6
+    assert location(store) == {"d0": 7, "d1": 7, "d2": 7, "d3": 7, "late": 6} and store.next_id() == 8
+    store.validate()
+    assert {r.doc_id for r in store.active()[0].filter("term = 'all'").collect()} == {"d0", "d1", "d2", "d3"}
+
+
+def test_a_segment_is_not_overwritten(spark, store):
+    with pytest.raises(FileExistsError):
+        store.flush(*make(spark, [("q", "", "x")], 1), segment_id=1)
+    with pytest.raises(FileExistsError):
+        store.replace([1, 2], 2)
+    assert store.flush(*make(spark, [("q", "", "x")], 1), segment_id=1, again=True) == 1
+    stats = store.corpus().first()
+    assert (stats.total_docs, stats.avg_title_len) == (3, 2 / 3) and stats.avg_text_len == 4 / 3
+
+
+def test_postings_that_do_not_fit_are_found(spark, store):
+    postings, lengths = make(spark, [("q", "", "x y z")], 1)
+    store.flush(postings.filter("term <> 'y'"), lengths)
+    with pytest.raises(ValueError, match="postings"):
+        store.validate()
+
+
+def test_robots_to_fetch(spark, tmp_path):
+    e = Engine(spark, f"file://{tmp_path}/engine")
+    e.seed({d: [f"https://{d}/"] for d in ("a.test", "b.test", "c.test")}, now())
+    files = spark.createDataFrame([("a.test", 200, "", T0), ("b.test", 200, "", T0 - dt.timedelta(hours=25))], "host string, status int, body string, fetched_at timestamp")
+    assert {r.host for r in e.robots_to_fetch(files, now()).collect()} == {"b.test", "c.test"}
