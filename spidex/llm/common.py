@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import contextlib
-import tempfile
-import uuid
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spidex.operators.lineage import cut, scratch, shared_dir  # noqa: F401 (shared with the modules here)
+
 #: What separates words: space and the ASCII control characters 0x09 to 0x0D.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -28,35 +28,21 @@ def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share. One is set only where the session has none (tests)."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        if spark.sparkContext.getCheckpointDir() is None:
-            spark.sparkContext.setCheckpointDir(configured)
-        return configured.rstrip("/")
-    current = spark.sparkContext.getCheckpointDir()
-    if current is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spidex-checkpoint-"))
-        current = spark.sparkContext.getCheckpointDir()
-    return current.rstrip("/")
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder: lineage ends there and a lost executor loses nothing."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def free_names(df: DataFrame, *stems: str) -> list[str]:
+    """Names for columns of our own that ``df`` doesn't have, whatever its columns are called."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for stem in stems:
+        name = f"_{stem}"
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
-@contextlib.contextmanager
-def scratch(spark: SparkSession):
-    """Paths for tables that a job needs between its own steps; they are removed at the end of the block."""
-    jvm = spark.sparkContext._jvm
-    base = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/spidex-{uuid.uuid4().hex}")
-    try:
-        yield lambda name: f"{base.toString()}/{name}"
-    finally:
-        base.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(base, True)
+def bound(value: Column, body) -> Column:
+    """body(value), with value computed once: inside a lambda, Spark computes an expression again for each element."""
+    return F.transform(F.array(value), body)[0]
 
 
 @contextlib.contextmanager
@@ -79,7 +65,7 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
 
     Alternates large-star and small-star steps; each is one grouped aggregation, a component of any shape ends
     after O(log n) rounds, and no group's rows are collected: both steps need only the minimum of a
-    node's neighbours, joined back to its edges.
+    node's neighbours, joined back to its edges, where Spark splits the edges of a hub at run time (AQE).
     """
     spark = edges.sparkSession
     e = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct())
