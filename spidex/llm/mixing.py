@@ -11,7 +11,10 @@ A source of any share of the rows is dealt over all tasks: the walk is sorted by
 within each range, and continued over the ranges' sums.
 
 Defined results: a null text has size 0; a null source is a source of its own, the last; a source of size 0 has target
-0; equal rows are documents of their own; an empty table gives an empty result; a tie in size falls by the hash of doc_id.
+0; equal rows are documents of their own; an empty table gives an empty result; a tie in size falls by the hash of doc_id, then of
+the text; a text of any length counts as its words; rows with a null doc_id take part; all columns are kept, whatever their names.
+
+Reruns agree, however rows are dealt: rates are whole multiples of 2**-20, and what is summed over rows is whole numbers.
 """
 
 from __future__ import annotations
@@ -20,9 +23,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from spidex.llm.common import WORD, cut, shuffle_partitions, text_or_empty
+from spidex.llm.common import WORD, cut, free_names, shuffle_partitions, text_or_empty
 
 WEIGHTS = (5, 2, 1)
+SCALE = 1 << 20  # of rates, as whole numbers
 
 
 def source_key() -> Column:
@@ -53,7 +57,8 @@ def _rate(tilt: Column, size: Column, mean: Column) -> Column:
 
 def tilts(histogram: DataFrame, sources: DataFrame, rounds: int = 60, near: float = 1e-7) -> DataFrame:
     """(source_key, tilt) for sources whose target is inside (0, 2 * size); histogram is (source_key, size, n)."""
-    spark = histogram.sparkSession
+    # sums of decimals don't depend on their order
+    exact = lambda x: F.sum((x * SCALE).cast("decimal(38,0)")).cast("double") / SCALE
     mean = histogram.groupBy("source_key").agg((F.sum(F.col("size") * F.col("n")) / F.sum("n")).alias("mean"))
     inner = sources.filter("target > 0 and target < 2 * source_size * (1 - 1e-12)").join(mean, "source_key")
     start = F.log(F.col("target") / (2 * F.col("source_size") - F.col("target")))
@@ -64,7 +69,7 @@ def tilts(histogram: DataFrame, sources: DataFrame, rounds: int = 60, near: floa
         sums = (
             histogram.join(state, "source_key")
             .groupBy("source_key")
-            .agg(F.sum(words * r).alias("got"), F.sum(words * F.col("size") / F.col("mean") * r * (1 - r / 2)).alias("slope"))
+            .agg(exact(words * r).alias("got"), exact(words * F.col("size") / F.col("mean") * r * (1 - r / 2)).alias("slope"))
         )
         gap = F.col("got") - F.col("target")
         lo, hi = F.when(gap < 0, F.col("tilt")).otherwise(F.col("lo")), F.when(gap < 0, F.col("hi")).otherwise(F.col("tilt"))
@@ -82,19 +87,19 @@ def tilts(histogram: DataFrame, sources: DataFrame, rounds: int = 60, near: floa
 
 
 def _walk(rows: DataFrame) -> DataFrame:
-    """rows (row, doc_id, source_key, size, rate) in ranges of the walk's order, with ``copies``: steps of the rounded running sum."""
-    within = W.partitionBy("range", "source_key").orderBy("size", "tie", "row")
+    """rows (row, doc_id, source_key, size, tie, print, rate) in ranges of the walk's order, with ``copies``: steps of the rounded running sum."""
+    within = W.partitionBy("range", "source_key").orderBy("size", "tie", "print", "row")
     sums = rows.groupBy("source_key", "range").agg(F.sum("rate").alias("sum"))
-    base = sums.select("source_key", "range", F.coalesce(F.sum("sum").over(W.partitionBy("source_key").orderBy("range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0)).alias("base"))
-    to = F.col("base") + F.sum("rate").over(within.rowsBetween(W.unboundedPreceding, 0))
-    since = F.col("base") + F.coalesce(F.sum("rate").over(within.rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
-    return rows.join(cut(base), ["range", "source_key"]).withColumn("copies", (F.floor(to + 0.5) - F.floor(since + 0.5)).cast("long"))
+    base = sums.select("source_key", "range", F.coalesce(F.sum("sum").over(W.partitionBy("source_key").orderBy("range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("base"))
+    to = F.col("base") + F.sum("rate").over(within.rowsBetween(W.unboundedPreceding, 0)) + SCALE // 2
+    steps = F.expr(f"_to div {SCALE} - (_to - rate) div {SCALE}")
+    return rows.join(cut(base), ["range", "source_key"]).withColumn("_to", to).withColumn("copies", steps).drop("_to")
 
 
 def mix(docs: DataFrame, share: float = 1.5, weights: tuple = WEIGHTS, polish: int = 4) -> DataFrame:
-    """(doc_id, source_key, size, source_size, target, copies) of every document."""
+    """(doc_id, source_key, size, print, source_size, target, copies) of every document; ``print`` is a hash of the text."""
     size = F.regexp_count(text_or_empty(), F.lit(WORD)).cast("long")
-    sized = cut(docs.select(F.col("doc_id").cast("long"), source_key().alias("source_key"), size.alias("size")))
+    sized = cut(docs.select(F.col("doc_id").cast("long"), source_key().alias("source_key"), size.alias("size"), F.xxhash64(text_or_empty()).alias("print")))
     histogram = cut(sized.groupBy("source_key", "size").agg(F.count(F.lit(1)).alias("n")))
     sources = cut(targets(histogram.groupBy("source_key").agg(F.sum(F.col("size") * F.col("n")).alias("source_size")), share, weights))
     rates = tilts(histogram, sources)
@@ -105,15 +110,15 @@ def mix(docs: DataFrame, share: float = 1.5, weights: tuple = WEIGHTS, polish: i
         "size",
         "source_size",
         "target",
-        F.when(F.col("tilt").isNotNull(), _rate(F.col("tilt"), F.col("size"), F.col("mean"))).otherwise(F.when(F.col("target") > 0, 2.0).otherwise(0.0)).alias("rate"),
+        F.round(SCALE * F.when(F.col("tilt").isNotNull(), _rate(F.col("tilt"), F.col("size"), F.col("mean"))).otherwise(F.when(F.col("target") > 0, 2.0).otherwise(0.0))).cast("long").alias("rate"),
     )
     tie = F.xxhash64("doc_id")
     ranged = cut(
         sized.withColumn("tie", tie)
-        .repartitionByRange(shuffle_partitions(docs.sparkSession), "source_key", "size", "tie")
+        .repartitionByRange(shuffle_partitions(docs.sparkSession), "source_key", "size", "tie", "print")
         .select("*", F.spark_partition_id().alias("range"), F.monotonically_increasing_id().alias("row"))
     )
-    rows = cut(_walk(ranged.join(cut(rated), ["source_key", "size"])).select("row", "doc_id", "source_key", "size", "source_size", "target", "copies", "tie"))
+    rows = cut(_walk(ranged.join(cut(rated), ["source_key", "size"])).select("row", "doc_id", "source_key", "size", "source_size", "target", "copies", "tie", "print"))
     changes, salts = None, shuffle_partitions(docs.sparkSession)
     for _ in range(polish):
         current = rows if changes is None else rows.join(changes.select("row", "change"), "row", "left").withColumn("copies", F.col("copies") + F.coalesce("change", F.lit(0))).drop("change")
@@ -128,28 +133,29 @@ def mix(docs: DataFrame, share: float = 1.5, weights: tuple = WEIGHTS, polish: i
             .join(missing, ["source_key", "salt"])
             .filter(fits & (off < F.abs("missing")))
             .groupBy("source_key", "salt")
-            .agg(F.min(F.struct(off.alias("off"), "tie", "row", F.signum("missing").cast("long").alias("change"))).alias("best"))
+            .agg(F.min(F.struct(off.alias("off"), "tie", "print", "row", F.signum("missing").cast("long").alias("change"))).alias("best"))
             .groupBy("source_key")
             .agg(F.min("best").alias("best"))
             .select("best.row", "best.change")
         )
         changes = cut(best if changes is None else changes.unionByName(best))
     final = rows if changes is None else rows.join(changes, "row", "left").withColumn("copies", F.col("copies") + F.coalesce("change", F.lit(0)))
-    return final.select("doc_id", "source_key", "size", "source_size", "target", "copies")
+    return final.select("doc_id", "source_key", "size", "print", "source_size", "target", "copies")
 
 
 def mixed_documents(docs: DataFrame, **how) -> DataFrame:
-    """The rows of ``docs``, all columns, each as often as the mix takes it."""
-    keys = ["_doc", "_source", "_size"]
-    order = W.partitionBy(*keys).orderBy("_tie")
-    taken = mix(docs, **how).select(F.coalesce("doc_id", F.lit(-1)).alias("_doc"), F.col("source_key").alias("_source"), F.col("size").alias("_size"), "copies")
-    taken = taken.withColumn("_tie", -F.col("copies")).withColumn("_nth", F.row_number().over(order))
+    """The rows of ``docs``, all columns, each as often as the mix takes it; among rows of one doc_id, source and text any may be taken."""
+    id_, source, size, tie, nth, copies, copy = free_names(docs, "id", "source", "size", "tie", "nth", "copies", "copy")
+    keys = [id_, source, size, tie]
+    # rows of one key are repeats of a document; a null doc_id is -1 here, apart by its text
+    taken = mix(docs, **how).select(F.coalesce("doc_id", F.lit(-1)).alias(id_), F.col("source_key").alias(source), F.col("size").alias(size), F.col("print").alias(tie), F.col("copies").alias(copies))
+    taken = taken.withColumn(nth, F.row_number().over(W.partitionBy(*keys).orderBy(F.desc(copies))))
     numbered = docs.select(
         "*",
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("_doc"),
-        source_key().alias("_source"),
-        F.regexp_count(text_or_empty(), F.lit(WORD)).cast("long").alias("_size"),
-        F.xxhash64(text_or_empty()).alias("_tie"),
-    ).withColumn("_nth", F.row_number().over(order))
-    joined = numbered.join(cut(taken.filter("copies > 0").select(*keys, "_nth", "copies")), [*keys, "_nth"])
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
+        F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias(id_),
+        source_key().alias(source),
+        F.regexp_count(text_or_empty(), F.lit(WORD)).cast("long").alias(size),
+        F.xxhash64(text_or_empty()).alias(tie),
+    ).withColumn(nth, F.row_number().over(W.partitionBy(*keys).orderBy(tie)))
+    joined = numbered.join(cut(taken.filter(F.col(copies) > 0).select(*keys, nth, copies)), [*keys, nth])
+    return joined.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies).cast("int")))).select(*docs.columns)
