@@ -4,8 +4,11 @@
 the nested boxes of any such file, decodes the sample tables and gives codec, duration and the byte ranges
 of the keyframes without touching a payload, ``payload`` reads the stored samples back through those tables.
 
-Defined results: a null text is stored as an empty one, which is 64 zero bytes; ``probe`` of null or of bytes that
-are not such a file gives nulls and a message in ``error``; equal payloads give equal files (no times, no names).
+Defined results: a null text is stored as an empty one, which is 64 zero bytes; ``probe`` of null, of bytes that are not such a file or
+of a file whose tables contradict themselves or reach past its end gives nulls and a message in ``error``, and takes memory in
+proportion to the file; of several tracks the first video track stands for the file, else the first, and all are in ``tracks``; equal
+payloads give equal files (no times, no names); a text of any length is one file, written whole; an empty table gives an empty result;
+``with_probe`` keeps all other columns and replaces one that has the name of its own.
 """
 
 from __future__ import annotations
@@ -22,6 +25,7 @@ from pyspark.sql import functions as F
 from spidex.llm.common import text_or_empty
 
 UNIT, RATE, UNITS_A_CHUNK = 64, 8000, 16
+DEEPEST = 64  # levels of boxes; files in use have eight or so
 _HOLDS = {b"moov", b"trak", b"mdia", b"minf", b"stbl", b"dinf", b"edts", b"udta", b"mvex", b"moof", b"traf"}
 
 
@@ -78,10 +82,13 @@ def encode(data: bytes) -> bytes:
     return head + moov(to_data) + _box(b"mdat", data)
 
 
-def boxes(file: bytes, start: int = 0, end: int | None = None, path: tuple = ()):
+def boxes(file: bytes, start: int = 0, end: int | None = None):
     """(path, first, last) of the body of each box, outer ones first; bodies of media data are stepped over."""
-    end = len(file) if end is None else end
-    while start + 8 <= end:
+    open_ = [(start, len(file) if end is None else end, ())]
+    while open_:
+        start, end, path = open_.pop()
+        if start + 8 > end:
+            continue
         size, kind = struct.unpack_from(">I4s", file, start)
         body = start + 8
         if size == 1:
@@ -92,51 +99,131 @@ def boxes(file: bytes, start: int = 0, end: int | None = None, path: tuple = ())
         if size < body - start or start + size > end:
             raise ValueError(f"box {kind!r} of {size} bytes doesn't fit")
         yield (*path, kind), body, start + size
+        open_.append((start + size, end, path))
         if kind in _HOLDS:
-            yield from boxes(file, body, start + size, (*path, kind))
-        start += size
+            if len(path) == DEEPEST:
+                raise ValueError("boxes nest too deep")
+            open_.append((body, start + size, (*path, kind)))
+
+
+def _numbers(body: bytes, kind: str, width: int, n: int | None = None, offset: int = 8) -> np.ndarray:
+    """The rows of a table in a box, of which its own count says how many there are."""
+    n = struct.unpack_from(">I", body, 4)[0] if n is None else n
+    if offset + n * width * np.dtype(kind).itemsize > len(body):
+        raise ValueError("a table is cut short")
+    rows = np.frombuffer(body, kind, n * width, offset).astype(np.int64)
+    if len(rows) and rows.min() < 0:
+        raise ValueError("a number is too large")
+    return rows.reshape(n, width) if width > 1 else rows
+
+
+def _table(t: dict, file: bytes) -> None:
+    """Offsets, sizes and keyframes of a track's samples from the tables of its moov."""
+    first, each, n = t["stsc"][:, 0], t["stsc"][:, 1], len(t["sizes"])
+    runs = np.diff(np.append(first, len(t["chunks"]) + 1))
+    if len(first) and (first[0] != 1 or runs.min() < 0):
+        raise ValueError("chunks are out of order")
+    if sum(a * b for a, b in zip(each.tolist(), runs.tolist())) != n:
+        raise ValueError("chunks and samples differ")
+    if sum(t["stts"][:, 0].tolist()) != n:
+        raise ValueError("durations and samples differ")
+    each = np.repeat(each, runs)
+    chunk = np.repeat(np.arange(len(each)), each)
+    begins = np.cumsum(each) - each  # the first sample of each chunk
+    before = np.cumsum(t["sizes"]) - t["sizes"]
+    t["offsets"] = t["chunks"][chunk] + before - (before[np.minimum(begins, max(0, n - 1))][chunk] if n else 0)
+    t["keys"] = t.get("stss", np.arange(n))
+    if len(t["keys"]) and (t["keys"].min() < 0 or t["keys"].max() >= n):
+        raise ValueError("a keyframe is no sample")
+
+
+def _fragment(t: dict, head: dict, body: bytes, at: int | None) -> int:
+    """Adds the samples of one run; where the next one starts that says nothing else."""
+    flags, n = struct.unpack_from(">I", body)[0] & 0xFFFFFF, struct.unpack_from(">I", body, 4)[0]
+    place, start = 8, head["base"] if at is None else at
+    if flags & 1:
+        start, place = head["base"] + struct.unpack_from(">i", body, place)[0], place + 4
+    first_flags = None
+    if flags & 4:
+        first_flags, place = struct.unpack_from(">I", body, place)[0], place + 4
+    fields = [name for bit, name in ((0x100, "duration"), (0x200, "size"), (0x400, "flags"), (0x800, "shift")) if flags & bit]
+    if not fields and n * max(1, head["size"]) > t["bytes"]:
+        raise ValueError("samples reach past the end")
+    rows = _numbers(body, ">u4", len(fields), n, place).reshape(n, len(fields)) if fields else np.zeros((n, 0), np.int64)
+    column = lambda name: rows[:, fields.index(name)] if name in fields else np.full(n, head[name], np.int64)
+    size, kinds = column("size"), column("flags").copy()
+    if first_flags is not None and n:
+        kinds[0] = first_flags
+    t["parts"].append((start + np.cumsum(size) - size, size, (kinds & 0x10000) == 0))
+    t["duration_of_parts"] += int(column("duration").sum())
+    return start + int(size.sum())
 
 
 def tracks(file: bytes) -> list[dict]:
-    """Codec, time scale, duration and the sample table of each track: offset, size and duration of each sample, and keyframes."""
+    """Codec, time scale, duration and samples of each track: offset and size of each sample, and keyframes. Fragments follow what moov says."""
     found: list[dict] = []
+    defaults: dict[int, dict] = {}
+    t = head = at = None
     for path, a, b in boxes(file):
-        kind = path[-1]
+        kind, above = path[-1], path[-2] if len(path) > 1 else b""
+        body = b"" if kind in _HOLDS or kind == b"mdat" else file[a:b]
         if kind == b"trak":
-            found.append({})
-        if not found or b"trak" not in path:
+            t = {"bytes": len(file), "parts": [], "duration_of_parts": 0}
+            found.append(t)
+        elif kind == b"trex":
+            number, _, duration, size, flags = struct.unpack_from(">5I", body, 4)
+            defaults[number] = {"duration": duration, "size": size, "flags": flags}
+        elif kind == b"moof":
+            moof = a - 8
+        elif kind == b"tfhd":
+            flags, number = struct.unpack_from(">I", body)[0] & 0xFFFFFF, struct.unpack_from(">I", body, 4)[0]
+            t = next((x for x in found if x.get("number") == number), None)
+            if t is None or above != b"traf":
+                raise ValueError("a fragment has no track")
+            head, at, place = {"duration": 0, "size": 0, "flags": 0, **defaults.get(number, {}), "base": moof}, None, 8
+            for bit, name, form in ((1, "base", ">Q"), (2, "entry", ">I"), (8, "duration", ">I"), (0x10, "size", ">I"), (0x20, "flags", ">I")):
+                if flags & bit:
+                    head[name] = struct.unpack_from(form, body, place)[0]
+                    place += struct.calcsize(form)
+        elif kind == b"trun":
+            if head is None:
+                raise ValueError("a fragment has no track")
+            at = _fragment(t, head, body, at)
+        elif t is None:
             continue
-        t, body = found[-1], file[a:b] if path[-2:] != (b"trak", b"mdia") and kind not in _HOLDS else b""
-        if kind == b"mdhd":
+        elif kind == b"tkhd":
+            t["number"] = struct.unpack_from(">I", body, 20 if body[0] else 12)[0]
+        elif kind == b"mdhd":
             t["rate"], t["duration"] = struct.unpack_from(">IQ" if body[0] else ">II", body, 20 if body[0] else 12)
-        elif kind == b"hdlr":
+        elif kind == b"hdlr" and above == b"mdia":
             t["handler"] = body[8:12].decode("latin-1")
         elif kind == b"stsd":
             t["codec"] = body[12:16].decode("latin-1")
         elif kind == b"stts":
-            t["stts"] = np.frombuffer(body, ">u4", offset=8).reshape(-1, 2).astype(np.int64)
+            t["stts"] = _numbers(body, ">u4", 2)
         elif kind == b"stsc":
-            t["stsc"] = np.frombuffer(body, ">u4", offset=8).reshape(-1, 3).astype(np.int64)
+            t["stsc"] = _numbers(body, ">u4", 3)
         elif kind == b"stss":
-            t["stss"] = np.frombuffer(body, ">u4", offset=8).astype(np.int64) - 1
+            t["stss"] = _numbers(body, ">u4", 1) - 1
         elif kind in (b"stco", b"co64"):
-            t["chunks"] = np.frombuffer(body, ">u4" if kind == b"stco" else ">u8", offset=8).astype(np.int64)
+            t["chunks"] = _numbers(body, ">u4" if kind == b"stco" else ">i8", 1)
         elif kind == b"stsz":
             each, n = struct.unpack_from(">II", body, 4)
-            t["sizes"] = np.full(n, each, np.int64) if each else np.frombuffer(body, ">u4", n, 12).astype(np.int64)
+            if each * n > len(file):
+                raise ValueError("samples reach past the end")
+            t["sizes"] = np.full(n, each, np.int64) if each else _numbers(body, ">u4", 1, n, 12)
     for t in found:
         if not {"stsc", "chunks", "sizes", "stts", "rate", "codec"} <= t.keys():
             raise ValueError("a track has no sample table")
-        first = t["stsc"][:, 0]
-        each = np.repeat(t["stsc"][:, 1], np.diff(np.append(first, len(t["chunks"]) + 1)))
-        chunk = np.repeat(np.arange(len(each)), each)
-        if len(chunk) != len(t["sizes"]):
-            raise ValueError("chunks and samples differ")
-        ends = np.cumsum(t["sizes"])
-        begins = np.cumsum(each) - each  # the first sample of each chunk
-        t["offsets"] = t["chunks"][chunk] + (ends - t["sizes"]) - (ends - t["sizes"])[begins][chunk]
-        t["keys"] = t.get("stss", np.arange(len(chunk)))
-        if len(chunk) and (t["offsets"] + t["sizes"]).max() > len(file):
+        if not t["rate"]:
+            raise ValueError("a track has no time scale")
+        _table(t, file)
+        if t["parts"]:
+            n = len(t["sizes"])
+            keys = np.flatnonzero(np.concatenate([p[2] for p in t["parts"]])) + n
+            t["offsets"], t["sizes"], t["keys"] = np.concatenate([t["offsets"], *(p[0] for p in t["parts"])]), np.concatenate([t["sizes"], *(p[1] for p in t["parts"])]), np.concatenate([t["keys"], keys])
+            t["duration"] += t["duration_of_parts"]
+        if len(t["sizes"]) and (t["offsets"].min() < 0 or (t["offsets"] + t["sizes"]).max() > len(file)):
             raise ValueError("samples reach past the end")
     return found
 
@@ -151,17 +238,27 @@ def payload(file: bytes, track: dict) -> bytes:
     return b"".join(file[a:b] for a, b in zip(at[first].tolist(), (at + size)[last].tolist()))
 
 
-_PROBE = pa.struct([("codec", pa.string()), ("duration_s", pa.float64()), ("samples", pa.int64()), ("keyframes", pa.list_(pa.struct([("offset", pa.int64()), ("length", pa.int64())]))), ("error", pa.string())])
+_RANGES = pa.list_(pa.struct([("offset", pa.int64()), ("length", pa.int64())]))
+_TRACK = [("codec", pa.string()), ("duration_s", pa.float64()), ("samples", pa.int64()), ("keyframes", _RANGES)]
+_PROBE = pa.struct([*_TRACK, ("tracks", pa.list_(pa.struct([("handler", pa.string()), *_TRACK]))), ("error", pa.string())])
+_TRACK_SQL = "codec:string,duration_s:double,samples:bigint,keyframes:array<struct<offset:bigint,length:bigint>>"
+
+
+def _told(t: dict) -> dict:
+    keys = [{"offset": a, "length": n} for a, n in zip(t["offsets"][t["keys"]].tolist(), t["sizes"][t["keys"]].tolist())]
+    return {"codec": t["codec"], "duration_s": t["duration"] / t["rate"], "samples": len(t["sizes"]), "keyframes": keys}
 
 
 def probe_bytes(file: bytes | None) -> dict:
-    """Of the first track."""
+    """Of the first video track, else of the first; and of all tracks."""
     try:
-        t = tracks(file or b"")[0]
-    except (ValueError, IndexError, struct.error) as e:
-        return {"codec": None, "duration_s": None, "samples": None, "keyframes": None, "error": str(e) or "no track"}
-    keys = [{"offset": int(a), "length": int(n)} for a, n in zip(t["offsets"][t["keys"]], t["sizes"][t["keys"]])]
-    return {"codec": t["codec"], "duration_s": t["duration"] / t["rate"], "samples": len(t["sizes"]), "keyframes": keys, "error": None}
+        found = tracks(file or b"")
+        if not found:
+            raise ValueError("no track")
+        shown = next((t for t in found if t.get("handler") == "vide"), found[0])
+        return {**_told(shown), "tracks": [{"handler": t.get("handler"), **_told(t)} for t in found], "error": None}
+    except (ValueError, IndexError, KeyError, OverflowError, struct.error) as e:
+        return {"codec": None, "duration_s": None, "samples": None, "keyframes": None, "tracks": None, "error": str(e) or "no track"}
 
 
 def to_media(docs: DataFrame) -> DataFrame:
@@ -178,8 +275,8 @@ def to_media(docs: DataFrame) -> DataFrame:
 
 
 def with_probe(media: DataFrame, column: str = "media", into: str = "probe") -> DataFrame:
-    """``media`` with a struct<codec, duration_s, samples, keyframes array<struct<offset, length>>, error>; payloads stay as they are."""
-    schema = media.withColumn(into, F.lit(None).cast("struct<codec:string,duration_s:double,samples:bigint,keyframes:array<struct<offset:bigint,length:bigint>>,error:string>")).schema
+    """``media`` with a struct<codec, duration_s, samples, keyframes array<struct<offset, length>>, tracks, error>; payloads stay as they are."""
+    schema = media.withColumn(into, F.lit(None).cast(f"struct<{_TRACK_SQL},tracks:array<struct<handler:string,{_TRACK_SQL}>>,error:string>")).schema
 
     def run(batches_):
         for batch in batches_:
