@@ -9,7 +9,8 @@ whole text from each. The network has a few thousand numbers, whatever the corpu
 Gates and candidates use x / (1 + |x|), which keeps the range of tanh and costs a fifth of it.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0; a language without training texts isn't learned;
-without any, every text is ``und``; equal texts get equal predictions; rows with a null doc_id count as not held out and aren't trained
+without any, every text is ``und``; of equal probabilities the first language in order is taken; scores are rounded to five digits, below
+which equal texts may differ by what is read beside them; a text of any length is read whole, in batches of segments; rows with a null doc_id count as not held out and aren't trained
 on; an empty table gives an empty result. Only ``text`` is an input of a prediction.
 """
 
@@ -116,7 +117,7 @@ class Network:
         g["tb"], g["ub"] = _layer_back(x[::-1], self.p["ub"], tape_b, dboth[::-1, :, units:])
         return loss, g
 
-    def train(self, x: np.ndarray, y: np.ndarray, lengths: np.ndarray, steps: int = 250, side: int = 256, rate: float = 0.02, seed: int = 11) -> "Network":
+    def train(self, x: np.ndarray, y: np.ndarray, lengths: np.ndarray, steps: int = 400, side: int = 256, rate: float = 0.02, seed: int = 11) -> "Network":
         """x (segments, SEGMENT), y the language of each, lengths the real bytes of each."""
         rng = np.random.default_rng(seed)
         m = {k: np.zeros_like(v) for k, v in self.p.items()}
@@ -150,10 +151,10 @@ class Network:
             mask = np.arange(SEGMENT)[:, None] < real[None, a : a + SIDE]
             sums = np.einsum("tsk,ts->sk", q, mask.astype(np.float32))
             np.add.at(out, of[a : a + SIDE], sums)
-        return out / np.maximum(1, [[n] for _, n in parts])
+        return np.round(out / np.maximum(1, [[n] for _, n in parts]), 5)
 
 
-def training_segments(docs: DataFrame, per_language: int, per_text: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]:
+def training_segments(docs: DataFrame, per_language: int, per_text: int, most_languages: int = 512) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]:
     usable = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), text_or_empty().alias("text")).filter("doc_id is not null and lang is not null and text <> ''").filter(~held_out())
     # both windows drop all but per_language rows a language within each task before they shuffle; the first, over groups of
     # tasks, leaves the second as many rows as there are groups, however many tasks read the table
@@ -174,7 +175,10 @@ def training_segments(docs: DataFrame, per_language: int, per_text: int) -> tupl
                     sizes.append(min(SEGMENT, n - k * SEGMENT))
             yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(data, pa.binary()), pa.array(sizes, pa.int32())], names=["lang", "data", "size"])
 
-    # per_language ids for each language, no more
+    # a network has a bounded number of outputs: the languages with the most texts, where there are more of them
+    common = chosen.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(most_languages).select("lang")
+    chosen = chosen.join(F.broadcast(common), "lang", "left_semi")
+    # per_language ids for each of most_languages, no more
     rows = usable.join(F.broadcast(chosen.select("doc_id").distinct()), "doc_id", "left_semi").select("lang", "text").mapInArrow(run, "lang string, data binary, size int").orderBy("lang", "data", "size").toArrow()
     langs = rows["lang"].to_pylist()
     languages = sorted(set(langs))
@@ -182,7 +186,7 @@ def training_segments(docs: DataFrame, per_language: int, per_text: int) -> tupl
     return x, np.array([languages.index(v) for v in langs], np.int64), rows["size"].to_numpy().astype(np.int64), languages
 
 
-def learn(docs: DataFrame, per_language: int = 400, per_text: int = 12, steps: int = 250) -> Network | None:
+def learn(docs: DataFrame, per_language: int = 400, per_text: int = 12, steps: int = 400) -> Network | None:
     """Trained on rows of ``docs`` that aren't held out; None without any."""
     x, y, lengths, languages = training_segments(docs, per_language, per_text)
     return Network(languages).train(x, y, lengths, steps) if languages else None
