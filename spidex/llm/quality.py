@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spidex.llm.common import cut, mix, prefix_hash, repeated, span_hash, text_or_empty, word_spans
+from spidex.llm.common import cut, free_names, mix, prefix_hash, repeated, span_hash, text_or_empty, word_spans
 
 BUCKETS, SHAPES, LEVELS = 1 << 18, 7, 16
 ENTRIES = BUCKETS + SHAPES * LEVELS
@@ -147,5 +147,6 @@ def classify(docs: DataFrame, labels: DataFrame, sample_rows: int = 50_000, top:
 
 def kept_documents(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
     """The rows of ``docs``, all columns, whose document is kept; rows with a null doc_id stay."""
-    rejected = classify(docs, labels, **how).filter("not kept and doc_id is not null").select(F.col("doc_id").alias("_rejected")).distinct()
-    return docs.join(rejected, docs["doc_id"].cast("long") == F.col("_rejected"), "left_anti")
+    (rejected,) = free_names(docs, "rejected")
+    gone = classify(docs, labels, **how).filter("not kept and doc_id is not null").select(F.col("doc_id").alias(rejected)).distinct()
+    return docs.join(gone, F.col("doc_id").cast("long") == F.col(rejected), "left_anti")
