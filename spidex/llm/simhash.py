@@ -12,21 +12,20 @@ task holds an unbounded group. A bucket gives a spanning forest of its links, ne
 
 Defined results: null and empty texts have the fingerprint zero and link like any other; texts of fewer words
 than a shingle are one shingle; rows with a null doc_id take part and never name a component unless it has no other
-row (then null); an empty table gives an empty result; other columns are not looked at.
+row (then null); a bit set in exactly half of the shingles is 0; repeated rows are rows of their own; a text of any length is hashed
+whole, in blocks of shingles; an empty table gives an empty result; other columns are not looked at.
 """
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spidex.llm.common import components, cut, mix, shuffle_partitions, text_or_empty
+from spidex.llm.common import components, cut, free_names, mix, shuffle_partitions, text_or_empty
 
-BLOCK = 4096
+BLOCK, MANY = 4096, 1 << 14
 
 
 def fingerprint(text: str, words: int = 3, seed: int = 42) -> int:
@@ -40,8 +39,15 @@ def fingerprint(text: str, words: int = 3, seed: int = 42) -> int:
     starts = np.append(0, ends[:-1] + 1)[:n].tolist()
     ends = ends[words - 1 :].tolist() or [int(ends[-1])]
     joined = b" ".join(w)
-    bits = np.unpackbits(np.array([h(joined[a:b], seed) for a, b in zip(starts, ends)], ">u8").view(np.uint8).reshape(n, 8), axis=1)
-    return int.from_bytes(np.packbits(bits.sum(axis=0, dtype=np.int64) * 2 > n).tobytes(), "big")
+    counts = np.zeros(64, np.int64)
+    for k in range(0, n, MANY):
+        counts += _bit_counts(np.array([h(joined[a:b], seed) for a, b in zip(starts[k : k + MANY], ends[k : k + MANY])], np.uint64))
+    return int.from_bytes(np.packbits(counts * 2 > n).tobytes(), "big")
+
+
+def _bit_counts(hashes: np.ndarray) -> np.ndarray:
+    """How many of some hashes have each bit, the highest first."""
+    return np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
 
 
 def fingerprints(docs: DataFrame, words: int = 3, seed: int = 42) -> DataFrame:
@@ -191,8 +197,8 @@ def wide_fingerprint(hashes: np.ndarray) -> np.ndarray:
     if not len(hashes):
         return out
     for k in range(WIDE):
-        bits = np.unpackbits(mix(hashes ^ _SEEDS[k]).view(np.uint8).reshape(-1, 8), axis=1)
-        out[k] = np.packbits(bits.sum(axis=0, dtype=np.int64) * 2 > len(hashes)).view(np.uint64)[0]
+        counts = sum(_bit_counts(mix(hashes[a : a + MANY] ^ _SEEDS[k])) for a in range(0, len(hashes), MANY))
+        out[k] = int.from_bytes(np.packbits(counts * 2 > len(hashes)).tobytes(), "big")
     for k in range(WIDE, WIDE + KEYS):
         out[k] = mix(hashes ^ _SEEDS[k]).min()
     return out
@@ -204,46 +210,87 @@ def alike(x: frozenset, y: frozenset, similarity: float) -> bool:
     return both >= similarity * (len(x) + len(y) - both) - 1e-9
 
 
+class _Sets:
+    """The shingle sets of one group, as rows of a table that is sorted by how many of the group's sets have a shingle.
+
+    Two sets with a similarity of s share one of the first n - ceil(s n) + 1 shingles of either (n: its size), in any order that is the
+    same for both. With rare ones first few sets share any, and no pair is lost.
+    """
+
+    def __init__(self, sets: list[np.ndarray]):
+        sizes = np.array([len(s) for s in sets])
+        flat = np.concatenate(sets) if len(sets) else np.zeros(0, np.uint64)
+        of = np.repeat(np.arange(len(sets)), sizes)
+        _, token, times = np.unique(flat, return_inverse=True, return_counts=True)
+        by_set = np.lexsort((token, times[token], of))
+        self.tokens, self.starts = token[by_set], np.append(0, np.cumsum(sizes))
+        by_token = np.argsort(token, kind="stable")
+        self.rows, self.places = of[by_token], np.append(0, np.cumsum(times))
+        self.sizes = sizes
+        self._known: dict[int, frozenset] = {}
+
+    def sharing(self, k: int, similarity: float) -> np.ndarray:
+        """Rows that share one of the first shingles of row k: all that can be as similar to it are among them."""
+        n = int(self.sizes[k])
+        if not n:
+            return np.flatnonzero(self.sizes == 0)
+        first = n - int(np.ceil(similarity * n - 1e-9)) + 1
+        tokens = self.tokens[self.starts[k] : self.starts[k] + first]
+        return np.unique(np.concatenate([self.rows[self.places[t] : self.places[t + 1]] for t in tokens.tolist()]))
+
+    def set(self, k: int) -> frozenset:
+        if k not in self._known:
+            self._known[k] = frozenset(self.tokens[self.starts[k] : self.starts[k + 1]].tolist())
+        return self._known[k]
+
+
 def _wide_links(distance: int, similarity: float):
     """As _links(), for rows (slot, key, lo, hi, side, 4 words, size, node, set): the sets' similarity reaches ``similarity``.
 
-    Sizes too far apart rule a pair out, and so do words that differ in more than ``distance`` bits of 256: before the sum is looked
-    at, some start on the ring of words must have every chain within its part of the distance. Sets decide about the rest.
+    Each row in turn meets the later ones of other components that share one of its first shingles. Sizes too far apart rule a pair
+    out, and so do words that differ in more than ``distance`` bits of 256: before the sum is looked at, some start on the ring of words
+    must have every chain within its part of the distance. Sets decide about the rest.
     """
     budget = np.array([l * distance // WIDE for l in range(1, WIDE + 1)])
-
-    def join(group, side, words, size_of, node, sets):
-        n = len(node)
-        size = np.diff(np.append(np.flatnonzero(np.append(True, group[1:] != group[:-1])), n))
-        last = np.repeat(np.cumsum(size), size)
-        label, live = np.arange(n), np.arange(n)
-        for s in range(1, int(size.max(initial=1))):
-            live = live[live + s < last[live]]
-            a = live[(side[live] < 0) | (side[live] != side[live + s])]
-            p, q = label[a], label[a + s]
-            least, most = np.minimum(size_of[a], size_of[a + s]), np.maximum(size_of[a], size_of[a + s])
-            ok = (p != q) & (least >= similarity * most - 1e-9)
-            a, few = a[ok], least[ok] < FEW
-            diff = np.bitwise_count(words[a] ^ words[a + s]).astype(np.int64)
-            chains = np.cumsum(np.concatenate([diff, diff], axis=1)[:, np.arange(WIDE)[:, None] + np.arange(WIDE)], axis=2)
-            a = a[few | (chains <= budget).all(axis=2).any(axis=1) & (diff.sum(axis=1) <= distance)]
-            a = a[np.fromiter((alike(sets(k), sets(k + s), similarity) for k in a.tolist()), bool, len(a))]
-            p, q = label[a], label[a + s]
-            while (differ := p != q).any():
-                p, q = p[differ], q[differ]
-                np.minimum.at(label, np.maximum(p, q), np.minimum(p, q))
-                while (label[label] != label).any():
-                    label = label[label]
-                p, q = label[p], label[q]
-        return [(int(node[k]), int(node[label[k]])) for k in np.flatnonzero(label != np.arange(n))]
+    turns = np.arange(WIDE)[:, None] + np.arange(WIDE)
+
+    def close(k, others, words, size_of):
+        """Those of ``others`` that sizes and fingerprints don't rule out."""
+        least, most = np.minimum(size_of[k], size_of[others]), np.maximum(size_of[k], size_of[others])
+        ok = least >= similarity * most - 1e-9
+        others, few = others[ok], least[ok] < FEW
+        diff = np.bitwise_count(words[k] ^ words[others]).astype(np.int64)
+        chains = np.cumsum(np.concatenate([diff, diff], axis=1)[:, turns], axis=2)
+        return others[few | (chains <= budget).all(axis=2).any(axis=1) & (diff.sum(axis=1) <= distance)]
+
+    def join(side, words, size_of, node, sets):
+        """(a, b) of a spanning forest of one group."""
+        n, found = len(node), []
+        label, parts = np.arange(n), n
+        table = _Sets([np.frombuffer(s.as_buffer(), np.uint64) for s in sets])
+        for k in range(n):
+            if parts == 1:
+                break
+            others = table.sharing(k, similarity) if n > 8 else np.arange(n)
+            others = others[(others > k) & (label[others] != label[k])]
+            if side[k] >= 0:  # of two blocks: only pairs with one row from each
+                others = others[side[others] != side[k]]
+            for other in close(k, others, words, size_of).tolist() if len(others) else ():
+                if label[other] != label[k] and alike(table.set(k), table.set(other), similarity):
+                    found.append((int(node[other]), int(node[k])))
+                    label[label == label[other]] = label[k]
+                    parts -= 1
+        return found
 
     def run(batches_):
         held: list[tuple[np.ndarray, pa.Array]] = []
 
         def emit(rows, sets):
-            group = np.cumsum(np.append(False, (rows[1:, :4] != rows[:-1, :4]).any(axis=1)))
-            of = lru_cache(2 * BLOCK)(lambda k: frozenset(np.frombuffer(sets[k].as_buffer(), np.uint64).tolist()))
-            found = join(group, rows[:, 4], np.ascontiguousarray(rows[:, 5 : 5 + WIDE]).view(np.uint64), rows[:, 5 + WIDE], rows[:, 6 + WIDE], of)
+            edges = np.flatnonzero(np.append(True, (rows[1:, :4] != rows[:-1, :4]).any(axis=1)))
+            found = []
+            for a, b in zip(edges.tolist(), [*edges[1:].tolist(), len(rows)]):
+                if b - a > 1:
+                    found += join(rows[a:b, 4], np.ascontiguousarray(rows[a:b, 5 : 5 + WIDE]).view(np.uint64), rows[a:b, 5 + WIDE], rows[a:b, 6 + WIDE], sets[a:b])
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], names=["a", "b"])
 
@@ -263,8 +310,10 @@ def _wide_links(distance: int, similarity: float):
     return run
 
 
-def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(doc_id, component_id): documents linked where their sets of word shingles have a Jaccard similarity of ``similarity``.
+def labelled(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(doc_id, row, label) of every row of ``docs``: rows with one label are linked where their sets of word shingles have a Jaccard similarity of ``similarity``.
+
+    ``row`` is a hash of doc_id and text, ``label`` the smallest hash of a set that is linked. Rows without a word are linked.
 
     Equal sets are one node. Candidates are nodes that agree in one of eight least shingle hashes (at a similarity of s they do with a
     chance of 1 - (1 - s) ** 8), dealt out and linked as in links(). Sets with Jaccard similarity s have a cosine of about
@@ -295,8 +344,7 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
 
     rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64(F.col("doc_id").cast("long"), text_or_empty()).alias("row"), text_or_empty().alias("text"))
     prints = cut(rows.mapInArrow(prints_, "doc_id long, row long, " + ", ".join(f"{n} long" for n in names)))
-    known = prints.filter("doc_id is not null")
-    nodes = cut(known.groupBy("node").agg(*(F.min(k).alias(k) for k in ["row", *names[1:]])))
+    nodes = cut(prints.groupBy("node").agg(*(F.min(k).alias(k) for k in ["row", *names[1:]])))
     keys = F.array(*(F.struct(F.lit(k).alias("slot"), F.col(f"k{k}").alias("key")) for k in range(KEYS)))
     keyed = nodes.select("node", "size", F.explode(keys).alias("k")).select("k.*", "node", "size")
     crowded = keyed.groupBy("slot", "key").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("weight")).filter("n > 1")
@@ -319,11 +367,23 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
     )
     group = ["slot", "key", "lo", "hi"]
     found = dealt.repartition(shuffle_partitions(docs.sparkSession), *group).sortWithinPartitions(*group).mapInArrow(_wide_links(distance, similarity), "a long, b long")
-    labelled = cut(known.select("doc_id", "node").join(components(found), "node", "left").select("doc_id", F.coalesce("label", "node").alias("label")))
-    return labelled.join(labelled.groupBy("label").agg(F.min("doc_id").alias("component_id")), "label").select("doc_id", "component_id")
+    return cut(prints.select("doc_id", "row", "node").join(components(found), "node", "left").select("doc_id", "row", F.coalesce("label", "node").alias("label")))
+
+
+def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(doc_id, component_id) of every row: the smallest doc_id of its group (null: none has any)."""
+    rows = labelled(docs, words, similarity)
+    return rows.join(rows.groupBy("label").agg(F.min("doc_id").alias("component_id")), "label").select("doc_id", "component_id")
 
 
 def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """The rows of ``docs``, all columns, but for documents whose group has a smaller doc_id; rows with a null doc_id stay."""
-    gone = similar_groups(docs, words, similarity).filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"].cast("long") == F.col("_gone"), "left_anti")
+    """One row of each group, all columns: that of the smallest doc_id, null last.
+
+    Of different texts under that doc_id one stays, by a hash; of repeated rows (one doc_id and text) any one. Documents without a word are
+    copies of each other.
+    """
+    id_, row, kept = free_names(docs, "id", "row", "kept")
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
+    first = labelled(docs, words, similarity).groupBy("label").agg(best.alias("best")).select(F.col("best.doc_id").alias(id_), F.col("best.row").alias(kept))
+    keyed = docs.withColumn(row, F.xxhash64(F.col("doc_id").cast("long"), text_or_empty()))
+    return keyed.join(first, (F.col(row) == F.col(kept)) & F.col("doc_id").cast("long").eqNullSafe(F.col(id_)), "left_semi").dropDuplicates([row]).select(*docs.columns)
