@@ -1,95 +1,137 @@
 """Removal of repeated byte strings: every byte covered by a ``length``-byte string that also starts in a document of smaller id.
 
-The suffixes of all texts are compared to a depth of ``length`` bytes by blockwise bucket sorting over a cover sample. The sample is
-content-defined: of the ``GRAM``-byte strings that start in the first ``length - GRAM + 1`` places of a suffix, the one with the
-least hash (the leftmost of equals). Equal suffixes have their sample at the same place, which is all that a difference cover of
-residues is for, at 7 % of the positions instead of 19 % or more. Steps, each a pass over the texts dealt by hash of doc_id to chunks:
-
-1. Sample strings of each chunk, one bucket of hashes at a time: those of a single document can't repeat and are dropped.
-2. Contexts: a sample stands for a run of consecutive suffixes, whose bytes together are its context. Contexts are sorted
-   bucket by bucket; equal ones are one class, ranked by the smallest document. All suffixes of a context that has a smaller
-   document are thereby repeats: long ties, such as whole copies, are resolved by these ranks, with no look at single suffixes.
-3. Single suffixes, only of the first document of a context whose sample string has other contexts as well.
+All suffixes are compared to a depth of ``length`` bytes by blockwise bucket sorting over a difference cover. The cover holds residues of
+places in a document, mod ``v = length - gram + 1``, such that any two places have a common offset below v at which both are in it:
+five of 21. So two suffixes that agree in ``length`` bytes agree in some sample string, of ``gram`` bytes, at one offset in both.
+Steps, each a pass over the texts, which are dealt by hash to chunks of about ``part_bytes``:
+
+1. Sample strings of each chunk, sorted bucket by bucket: those of a single document can't repeat and are dropped.
+2. Classes, which rank the sample: the class of a sample is the bytes of all suffixes that it stands for, those that start less
+   than v before it. They are sorted bucket by bucket, ranked by smallest document. If a document smaller than one's own has the class, all
+   its suffixes repeat: long ties, such as whole copies, are resolved by these ranks, with no look at single suffixes.
+3. Single suffixes of the first document of a class, where the sample string has several classes. ``rounds`` equal parts of their
+   hashes are sorted one after another, and bucket by bucket, so disk is bounded as well as memory.
 4. Bytes: what steps 2 and 3 found is marked in each text.
 
-A chunk sends each string once, whatever its documents repeat, so no bucket gathers more rows of a string than there are chunks. Strings
-are compared by 63-bit hashes of their bytes; two different ones agree with a chance of about n * n / 2**64 for n strings.
+A chunk sends each string once, whatever its documents repeat, so no bucket gathers more rows of a string than there are chunks.
+Step 1 compares 63-bit hashes, where a chance agreement costs time alone. Classes are compared by another 63 among those of one sample
+string, single suffixes by two hashes of 63 and 64 bits.
 
 Defined results: a null or empty text has nothing to remove; strings never cross documents; equal ids (or a null id, which is
-smaller than any) are not smaller than each other; an empty table gives an empty result; other columns are not looked at.
+smaller than any) are not smaller than each other; repeated rows of one id keep what they share; a long text is read in pieces of
+``PIECE`` bytes; an empty table gives an empty result; other columns are not looked at.
 """
 
 from __future__ import annotations
 
 import hashlib
+from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spidex.llm.common import mix, powers, scratch, shuffle_files_removed, shuffle_partitions, text_or_empty
+from spidex.llm.common import cut, mix, powers, scratch, shuffle_files_removed, text_or_empty
 
-LENGTH, GRAM, PLACE_BITS, BATCH = 50, 24, 28, 1 << 20
+LENGTH, GRAM, BATCH, PIECE, HELD = 50, 30, 1 << 20, 1 << 20, 1 << 21
+PART_BYTES, LEAST_PARTS, ROUNDS = 8 << 20, 16, 2
 NOBODY = -(1 << 63)
-_ONE, _EVEN = np.uint64(1), ~np.uint64(1)
-_BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+_EVEN = ~np.uint64(1)
+_BYTE, _OTHER = (mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(k)) for k in (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03))
+_PERFECT = {3: (0, 1), 7: (0, 1, 3), 13: (0, 1, 3, 9), 21: (3, 6, 7, 12, 14), 31: (1, 5, 11, 24, 25, 27)}
 
 
-class Sample:
-    """The cover sample of some texts: for each sample string its hash, document, first and last suffix, and context hash (even numbers)."""
+@lru_cache
+def difference_cover(v: int) -> tuple[int, ...]:
+    """Residues mod v of which every residue is a difference: as few as can be for some v, about 2 sqrt(v) for others."""
+    step = max(1, round(v**0.5))
+    return _PERFECT.get(v) or tuple(sorted({*range(min(step, v)), *range(0, v, step)}))
+
+
+class Piece(NamedTuple):
+    """Bytes of a document from ``at`` on; suffixes that start in [first, last) are this piece's."""
+
+    id: int
+    data: bytes
+    at: int
+    size: int
+    first: int
+    last: int
+
+
+def pieces(id_: int, text: bytes, length: int, v: int):
+    """A text as pieces, each with what its suffixes and their samples need on either side."""
+    n = len(text)
+    if n <= PIECE:
+        yield Piece(id_, text, 0, n, 0, n)
+        return
+    for first in range(0, n, PIECE):
+        last = min(n, first + PIECE)
+        at = max(0, first - v + 1)
+        yield Piece(id_, text[at : last + length + v], at, n, first, last)
 
-    def __init__(self, texts: list[bytes], length: int = LENGTH, gram: int = GRAM):
-        self.texts, self.length = texts, length
-        self.sizes = np.array([len(t) for t in texts], np.int64)
-        self.ends = np.cumsum(self.sizes)
-        self.data = np.frombuffer(b"".join(texts), np.uint8)
+
+class Sample:
+    """The cover sample of some pieces. Places are in the joined bytes; ``low`` to ``last`` are the suffixes that a sample stands for."""
+
+    def __init__(self, some: list[Piece], length: int = LENGTH, gram: int = GRAM):
+        self.pieces, self.length, self.gram, self.v = some, length, gram, length - gram + 1
+        sizes = np.array([len(x.data) + 1 for x in some], np.int64)
+        self.ends = np.cumsum(sizes)
+        self.shift = self.ends - sizes - np.array([x.at for x in some], np.int64)  # from a place in the document to one here
+        self.ids = np.array([x.id for x in some], np.int64)
+        self.data = np.frombuffer(b"\0".join([*(x.data for x in some), b""]), np.uint8)
         n = len(self.data)
-        if n >= 1 << PLACE_BITS:
-            raise ValueError("a text is too long")
-        empty = np.zeros(0, np.int64)
-        self.grams, self.contexts = empty.astype(np.uint64), empty.astype(np.uint64)
-        self.of = self.first = self.last = empty
-        if n < length or not (self.sizes >= length).any():
-            return
-        up, down = powers(n + 1)
-        self.prefix = np.zeros(n + 1, np.uint64)
-        np.cumsum(_BYTE[self.data] * up[:n], out=self.prefix[1:])
-        h = self.prefix[gram:] - self.prefix[:-gram]
-        h *= down[: n - gram + 1]
-        h = mix(h)
-        least = h & ~np.uint64((1 << PLACE_BITS) - 1)
-        least |= np.arange(len(least), dtype=np.uint64)
-        width, done = length - gram + 1, 1
-        while done < width:
-            step = min(done, width - done)
-            least = np.minimum(least[:-step], least[step:])
-            done += step
-        valid = np.zeros(n - length + 1, bool)
-        for a, b in zip((self.ends - self.sizes).tolist(), self.ends.tolist()):
-            if b - a >= length:
-                valid[a : b - length + 1] = True
-        suffix = np.flatnonzero(valid)
-        place = (least[suffix] & np.uint64((1 << PLACE_BITS) - 1)).astype(np.int64)
-        turn = np.flatnonzero(place[1:] != place[:-1])
-        self.first, self.last = suffix[np.append(0, turn + 1)], suffix[np.append(turn, len(suffix) - 1)]
-        at = place[np.append(0, turn + 1)]
-        self.grams = h[at] & _EVEN
-        self.of = np.searchsorted(self.ends, self.first, side="right")
-        self.contexts = mix(self.hash(self.first, self.last + length) + (at - self.first).astype(np.uint64)) & _EVEN
-
-    def hash(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        _, down = powers(len(self.prefix))
-        return mix((self.prefix[end] - self.prefix[start]) * down[start] + (end - start).astype(np.uint64))
-
-    def suffixes(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Starts of all suffixes of some sample strings, and the index in ``which`` of each."""
-        count = self.last[which] - self.first[which] + 1
-        of = np.repeat(np.arange(len(which)), count)
-        return self.first[which][of] + np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count), of
-
-    def strings(self, start: np.ndarray) -> np.ndarray:
-        return self.hash(start, start + self.length) & _EVEN
+        marked, self.own = np.zeros(n + 1, bool), np.zeros(n + 1, bool)
+        reach = max((x.last - x.first for x in some), default=0) + 3 * self.v
+        tile = np.zeros(self.v, bool)
+        tile[list(difference_cover(self.v))] = True
+        tile = np.tile(tile, reach // self.v + 2)
+        for x, shift in zip(some, self.shift.tolist()):
+            if x.size >= length:
+                stop = min(x.last + self.v, x.size - gram + 1)
+                marked[shift + x.first : shift + stop] = tile[x.first % self.v : x.first % self.v + max(0, stop - x.first)]
+                self.own[shift + x.first : shift + min(x.last, x.size - length + 1)] = True
+        self.at = np.flatnonzero(marked)
+        self.of = np.searchsorted(self.ends, self.at, side="right")
+        begin, end = self.shift[self.of], self.shift[self.of] + np.array([x.size for x in some], np.int64)[self.of]
+        self.low, self.last, self.high = np.maximum(self.at - self.v + 1, begin), np.minimum(self.at, end - length), np.minimum(self.at + length, end)
+        self.prefix = self._prefix(_BYTE) if len(self.at) else None
+
+    def _prefix(self, table: np.ndarray) -> np.ndarray:
+        up, _ = powers(len(self.data) + 1)
+        out = np.zeros(len(self.data) + 1, np.uint64)
+        np.cumsum(table[self.data] * up[: len(self.data)], out=out[1:])
+        return out
+
+    def _hash(self, start: np.ndarray, end: np.ndarray, prefix: np.ndarray) -> np.ndarray:
+        _, down = powers(len(prefix))
+        return mix((prefix[end] - prefix[start]) * down[start] + (end - start).astype(np.uint64))
+
+    def strings(self) -> np.ndarray:
+        """The hash of each sample string, an even number."""
+        return self._hash(self.at, self.at + self.gram, self.prefix) & _EVEN if len(self.at) else np.zeros(0, np.uint64)
+
+    def classes(self, some: np.ndarray) -> np.ndarray:
+        """The class of some samples, an even number."""
+        if not len(some):
+            return np.zeros(0, np.uint64)
+        low, at, high = self.low[some], self.at[some], self.high[some]
+        return mix(self._hash(low, high, self.prefix) + (at - low).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) & _EVEN
+
+    def reached(self, which: np.ndarray) -> np.ndarray:
+        """Whether each place is a suffix that some of these samples stand for."""
+        n = len(self.data) + 2
+        return np.cumsum(np.bincount(self.low[which], minlength=n) - np.bincount(self.last[which] + 1, minlength=n))[: len(self.own)] > 0
+
+    def suffixes(self, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Two hashes of the strings that start at places; the first is even."""
+        if not len(start):
+            return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        end = start + self.length
+        return self._hash(start, end, self.prefix) & _EVEN, self._hash(start, end, self._prefix(_OTHER))
 
 
 def _find(keys: np.ndarray, table: np.ndarray) -> np.ndarray:
@@ -114,30 +156,55 @@ def _blobs(rows: np.ndarray, keys: np.ndarray, chunk: int, buckets: int):
     return pa.RecordBatch.from_arrays(columns, names=["bucket", "chunk", "blob"])
 
 
-def _least(keys: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """(key with 1 added if several ids have it, smallest id) of distinct keys in order, as rows of uint64."""
-    order = np.lexsort((ids, keys))
-    keys, ids = keys[order], ids[order]
-    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])[: len(keys)])
-    last = np.append(first[1:], len(keys)) - 1 if len(first) else first
-    return np.stack([keys[first] | (ids[first] != ids[last]).astype(np.uint64), ids[first].view(np.uint64)], axis=1)
+def _edges(columns: list[np.ndarray]) -> np.ndarray:
+    """Where rows in order differ from the one before."""
+    new = np.ones(len(columns[0]), bool)
+    if len(new):
+        new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+    return np.flatnonzero(new)
+
+
+class _Least:
+    """Distinct keys (one or two hashes) with the smallest id of each, and whether several ids have it; compact however often a key comes."""
+
+    def __init__(self):
+        self.held, self.size = [], 0
+
+    def add(self, keys: list[np.ndarray], ids: np.ndarray, several: np.ndarray | None = None) -> None:
+        self.held.append([*keys, ids, np.zeros(len(ids), bool) if several is None else several])
+        self.size += len(ids)
+        if self.size > HELD and len(self.held) > 1:
+            self.compact()
+            if self.size > HELD // 2:  # all are distinct: wait for as many again
+                self.size = 0
 
+    def compact(self) -> list[np.ndarray]:
+        *keys, ids, several = (np.concatenate(c) for c in zip(*self.held))
+        order = np.lexsort((ids, *keys[::-1]))
+        keys, ids, several = [k[order] for k in keys], ids[order], several[order]
+        first = _edges(keys) if len(ids) else np.zeros(0, np.int64)
+        last = np.append(first[1:], len(ids))[: len(first)] - 1
+        some = (np.logical_or.reduceat(several, first) if len(first) else several) | (ids[first] != ids[last])
+        self.held = [[*(k[first] for k in keys), ids[first], some]]
+        self.size = len(first)
+        return self.held[0]
 
-def _by_chunk(work):
-    """Runs work(marks of kind 0, 1, 2) for each chunk of rows sorted by (chunk, kind, doc_id): feeds it batches of (ids, texts), yields what it gives."""
+
+def _by_chunk(work, length: int, v: int):
+    """Runs work(chunk, marks of kind 0, 1, 2) for each chunk of rows sorted by (chunk, kind): feeds it lists of pieces, yields what it gives."""
 
     def run(batches_):
         job, chunk, marks, held, size = None, None, None, [], 0
 
         def fed():
-            out = job.feed(np.array([i for i, _ in held], np.int64), [t for _, t in held])
+            out = job.feed(held) if held else None
             return [out] if out is not None else []
 
         for batch in batches_:
             for k, kind, doc_id, text, blob in zip(*(batch.column(c).to_pylist() for c in range(5))):
                 if k != chunk:
                     if job is not None:
-                        yield from fed() if held else []
+                        yield from fed()
                         yield from job.end()
                     job, chunk, marks, held, size = None, k, ([], [], []), [], 0
                 if kind < 3:
@@ -145,92 +212,89 @@ def _by_chunk(work):
                     continue
                 if job is None:
                     job = work(chunk, [b"".join(m) for m in marks])
-                data = text.encode()
-                if held and size + len(data) > BATCH:
-                    yield from fed()
-                    held, size = [], 0
-                held.append((NOBODY if doc_id is None else doc_id, data))
-                size += len(data)
+                for piece in pieces(NOBODY if doc_id is None else doc_id, text.encode(), length, v):
+                    if held and size + len(piece.data) > BATCH:
+                        yield from fed()
+                        held, size = [], 0
+                    held.append(piece)
+                    size += len(piece.data)
         if job is not None:
-            yield from fed() if held else []
+            yield from fed()
             yield from job.end()
 
     return run
 
 
-def _table(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Keys in order and, beside each, its number."""
-    rows = np.frombuffer(blob, np.uint64).reshape(-1, 2)
-    rows = rows[np.argsort(rows[:, 0], kind="stable")]
-    return np.ascontiguousarray(rows[:, 0]), np.ascontiguousarray(rows[:, 1]).view(np.int64)
+def _table(blob: bytes, width: int) -> np.ndarray:
+    """Rows in order of their first number."""
+    rows = np.frombuffer(blob, np.uint64).reshape(-1, width)
+    return rows[np.argsort(rows[:, 0], kind="stable")]
 
 
-class _Grams:
+class _Strings:
     """Step 1: the sample strings of a chunk."""
 
     def __init__(self, chunk, marks, buckets, length, gram):
-        self.chunk, self.buckets, self.how, self.keys, self.ids = chunk, buckets, (length, gram), [], []
-
-    def select(self, sample: Sample, ids: np.ndarray):
-        return sample.grams, ids[sample.of]
+        self.chunk, self.buckets, self.how, self.least = chunk, buckets, (length, gram), _Least()
 
-    def feed(self, ids, texts):
-        keys, of = self.select(Sample(texts, *self.how), ids)
-        self.keys.append(keys)
-        self.ids.append(of)
+    def feed(self, some):
+        sample = Sample(some, *self.how)
+        self.least.add([sample.strings()], sample.ids[sample.of])
 
-    def rows(self, least: np.ndarray) -> np.ndarray:
-        return least[:, 0]
+    def rows(self, keys, ids, several):
+        return (keys[0] | several)[:, None]
 
     def end(self):
-        if self.keys:
-            least = _least(np.concatenate(self.keys), np.concatenate(self.ids))
-            yield _blobs(np.ascontiguousarray(self.rows(least)), least[:, 0], self.chunk, self.buckets)
+        *keys, ids, several = self.least.compact()
+        if len(ids):
+            yield _blobs(np.ascontiguousarray(self.rows(keys, ids, several.astype(np.uint64))), keys[0], self.chunk, self.buckets)
 
 
-class _Contexts(_Grams):
-    """Step 2: contexts of the sample strings that several documents have."""
+class _Classes(_Strings):
+    """Step 2: classes of the sample strings that several documents have."""
 
     def __init__(self, chunk, marks, *how):
         super().__init__(chunk, marks, *how)
-        self.shared, self.of_gram = np.sort(np.frombuffer(marks[0], np.uint64)), []
+        self.shared = np.sort(np.frombuffer(marks[0], np.uint64))
 
-    def select(self, sample, ids):
-        some = np.flatnonzero(_find(sample.grams, self.shared) >= 0)
-        self.of_gram.append(sample.grams[some])
-        return sample.contexts[some], ids[sample.of[some]]
+    def feed(self, some):
+        sample = Sample(some, *self.how)
+        strings = sample.strings()
+        known = np.flatnonzero(_find(strings, self.shared) >= 0)
+        self.least.add([strings[known], sample.classes(known)], sample.ids[sample.of[known]])
 
-    def end(self):
-        if self.keys:
-            keys, grams = np.concatenate(self.keys), np.concatenate(self.of_gram)
-            least = _least(keys, np.concatenate(self.ids))
-            distinct, at = np.unique(keys, return_index=True)
-            rows = np.column_stack([grams[at], least])
-            rows = rows[np.argsort(rows[:, 0], kind="stable")]
-            yield _blobs(rows, np.ascontiguousarray(rows[:, 0]), self.chunk, self.buckets)
+    def rows(self, keys, ids, several):
+        return np.stack([keys[0], keys[1] | several, ids.view(np.uint64)], axis=1)
 
 
-class _Suffixes(_Grams):
-    """Step 3: single suffixes of first documents of contexts whose sample string has several."""
+class _Suffixes(_Strings):
+    """Step 3: single suffixes of first documents of classes whose sample string has several; those of one part of all hashes."""
 
-    def __init__(self, chunk, marks, *how):
-        super().__init__(chunk, marks, *how)
-        self.contexts, self.least = _table(marks[1])
+    def __init__(self, chunk, marks, buckets, length, gram, part=0, parts=1):
+        super().__init__(chunk, marks, buckets, length, gram)
+        table = _table(marks[1], 3)
+        self.known, self.least_of = np.ascontiguousarray(table[:, 0]), np.ascontiguousarray(table[:, 1]).view(np.int64)
+        self.several, self.part, self.parts = table[:, 2] > 0, np.uint64(part), np.uint64(parts)
 
-    def single(self, sample, ids):
-        """Sample strings whose suffixes are looked at one by one, and those of which all are repeats."""
-        at = _find(sample.contexts, self.contexts & _EVEN)
-        known = np.flatnonzero(at >= 0)
-        own, least, several = ids[sample.of[known]], self.least[at[known]], (self.contexts[at[known]] & _ONE) > 0
-        return known[(own <= least) & several], known[own > least]
+    def resolved(self, sample) -> tuple[np.ndarray, np.ndarray]:
+        """Samples all whose suffixes repeat; and places of suffixes that are looked at one by one."""
+        if not len(sample.at) or not len(self.known):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        at = _find(sample.classes(np.arange(len(sample.at))), self.known)
+        some = np.flatnonzero(at >= 0)
+        later = sample.ids[sample.of[some]] > self.least_of[at[some]]
+        gone, open_ = some[later], some[self.several[at[some]]]
+        return gone, np.flatnonzero(sample.reached(open_) & ~sample.reached(gone) & sample.own)
 
-    def select(self, sample, ids):
-        some, _ = self.single(sample, ids)
-        start, of = sample.suffixes(some)
-        return sample.strings(start) if len(start) else np.zeros(0, np.uint64), ids[sample.of[some[of]]]
+    def feed(self, some):
+        sample = Sample(some, *self.how)
+        _, start = self.resolved(sample)
+        first, second = sample.suffixes(start)
+        mine = (first >> np.uint64(1)) % self.parts == self.part
+        self.least.add([first[mine], second[mine]], sample.ids[np.searchsorted(sample.ends, start[mine], side="right")])
 
-    def rows(self, least):
-        return least
+    def rows(self, keys, ids, several):
+        return np.stack([keys[0] | several, keys[1], ids.view(np.uint64)], axis=1)
 
 
 class _Bytes(_Suffixes):
@@ -238,42 +302,68 @@ class _Bytes(_Suffixes):
 
     def __init__(self, chunk, marks, *how):
         super().__init__(chunk, marks, *how)
-        self.strings, self.first_of = _table(marks[2])
-
-    def feed(self, ids, texts):
-        sample = Sample(texts, *self.how)
-        cover = np.zeros(len(sample.data) + 1, np.int32)
-        if len(sample.first):
-            some, all_ = self.single(sample, ids)
-            np.add.at(cover, sample.first[all_], 1)
-            np.add.at(cover, sample.last[all_] + sample.length, -1)
-            start, of = sample.suffixes(some)
-            if len(start):
-                at = _find(sample.strings(start), self.strings)
-                later = (at >= 0) & (ids[sample.of[some[of]]] > self.first_of[at]) if len(self.strings) else np.zeros(len(start), bool)
-                np.add.at(cover, start[later], 1)
-                np.add.at(cover, start[later] + sample.length, -1)
-        gone = np.cumsum(cover[:-1]) > 0
-        rows = [[] for _ in range(6)]
-        for k, b in enumerate(sample.ends.tolist()):
-            a = b - len(texts[k])
-            mask = gone[a:b]
-            if mask.any():
-                edge = np.flatnonzero(np.diff(np.concatenate([[False], mask, [False]]).astype(np.int8)))
-                spans = [{"start": int(x), "length": int(y - x)} for x, y in zip(edge[0::2], edge[1::2])]
-                kept = sample.data[a:b][~mask].tobytes()
-            else:
-                spans, kept = [], texts[k]
-            row = (None if ids[k] == NOBODY else int(ids[k]), b - a, b - a - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), spans)
-            for c, v in zip(rows, row):
-                c.append(v)
+        table = _table(marks[2], 3)
+        self.first, self.second, self.first_of = (np.ascontiguousarray(table[:, k]) for k in range(3))
+        self.long: list = []  # of a text in several pieces: its pieces' own bytes and spans so far
+
+    def spans(self, sample) -> tuple[np.ndarray, np.ndarray]:
+        """Bounds of what goes, apart from each other and in order."""
+        gone, start = self.resolved(sample)
+        if len(start) and len(self.first):
+            first, second = sample.suffixes(start)
+            at = _find(first, self.first)
+            ids = sample.ids[np.searchsorted(sample.ends, start, side="right")]
+            start = start[(at >= 0) & (self.second[at] == second) & (ids > self.first_of.view(np.int64)[at])]
+        else:
+            start = start[:0]
+        return _union(np.concatenate([sample.low[gone], start]), np.concatenate([sample.last[gone], start]) + sample.length)
+
+    def feed(self, some):
+        sample = Sample(some, *self.how)
+        a, b = self.spans(sample)
+        cuts = np.searchsorted(a, [0, *sample.ends.tolist()])
+        rows = []
+        for k, x in enumerate(some):
+            own = slice(cuts[k], cuts[k + 1])
+            found = a[own] - sample.shift[k], b[own] - sample.shift[k]
+            if x.at == 0 and x.last == x.size:
+                rows.append(_cut_out(x.id, [x.data], x.size, *found))
+                continue
+            self.long.append((x.data[x.first - x.at : x.last - x.at], *found))
+            if x.last == x.size:
+                parts, first, last = zip(*self.long)
+                rows.append(_cut_out(x.id, parts, x.size, *_union(np.concatenate(first), np.concatenate(last))))
+                self.long = []
         kinds = [pa.int64()] * 4 + [pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, kinds)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
+        columns = list(zip(*rows)) or [[]] * 6
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
 
     def end(self):
         return ()
 
 
+def _union(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Spans that cover the same as [a, b) of each pair; neighbours that touch are one."""
+    if not len(a):
+        return a, b
+    order = np.argsort(a, kind="stable")
+    a, reach = a[order], np.maximum.accumulate(b[order])
+    opens = np.flatnonzero(np.append(True, a[1:] > reach[:-1]))
+    return a[opens], reach[np.append(opens[1:], len(a)) - 1]
+
+
+def _cut_out(id_: int, parts, size: int, a: np.ndarray, b: np.ndarray) -> tuple:
+    """A row of the result; the text is given in parts."""
+    text = memoryview(parts[0] if len(parts) == 1 else b"".join(parts))
+    seal, since = hashlib.sha256(), 0
+    for x, y in zip(a.tolist(), b.tolist()):
+        seal.update(text[since:x])
+        since = y
+    seal.update(text[since:])
+    spans = [{"start": x, "length": y - x} for x, y in zip(a.tolist(), b.tolist())]
+    return None if id_ == NOBODY else id_, size, int((b - a).sum()), len(a), seal.hexdigest(), spans
+
+
 def _by_bucket(resolve):
     """Runs resolve(chunks, arrays) for each bucket of rows (bucket, chunk, blob) sorted by bucket: it gives (chunk, bytes) to send back."""
 
@@ -306,83 +396,86 @@ def _joined(blobs: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _back(chunks, rows, of):
     cuts = np.searchsorted(of, np.arange(len(chunks) + 1))
-    return [(c, rows[cuts[k] : cuts[k + 1]].tobytes()) for k, c in enumerate(chunks)]
+    return [(c, np.ascontiguousarray(rows[cuts[k] : cuts[k + 1]]).tobytes()) for k, c in enumerate(chunks)]
 
 
 def _shared(chunks, blobs):
     """Step 1: to each chunk those of its strings that another document has."""
     rows, of = _joined(blobs, 1)
     keys = rows[:, 0] & _EVEN
-    distinct, at, n = np.unique(keys, return_inverse=True, return_counts=True)
+    _, at, n = np.unique(keys, return_inverse=True, return_counts=True)
     several = n > 1
-    several[at[(rows[:, 0] & _ONE) > 0]] = True
+    several[at[(rows[:, 0] & ~_EVEN) > 0]] = True
     some = several[at]
-    return _back(chunks, np.ascontiguousarray(keys[some]), of[some])
+    return _back(chunks, keys[some], of[some])
 
 
 def _ranked(chunks, blobs):
-    """Step 2: to each chunk (context, 1 added if its sample string has others; its smallest document) where that matters."""
+    """Step 2: to each chunk (class, its smallest document, whether its sample string has others) where that matters."""
     rows, of = _joined(blobs, 3)
-    grams, contexts, ids = rows[:, 0] & _EVEN, rows[:, 1] & _EVEN, np.ascontiguousarray(rows[:, 2]).view(np.int64)
-    order = np.lexsort((ids, contexts, grams))
-    new_gram = np.append(True, grams[order][1:] != grams[order][:-1])
-    new = new_gram | np.append(True, contexts[order][1:] != contexts[order][:-1])
-    of_class, of_gram = np.cumsum(new) - 1, np.cumsum(new_gram) - 1
-    classes = np.bincount(of_gram[new])
+    strings, classes, ids = rows[:, 0], rows[:, 1] & _EVEN, np.ascontiguousarray(rows[:, 2]).view(np.int64)
+    order = np.lexsort((ids, classes, strings))
+    string_edges, class_edges = _edges([strings[order]]), _edges([strings[order], classes[order]])
+    sizes = np.diff(np.append(class_edges, len(rows)))
+    of_string = np.searchsorted(string_edges, class_edges, side="right") - 1
+    others = np.bincount(of_string, minlength=len(string_edges)) > 1
     several, least = np.empty(len(rows), bool), np.empty(len(rows), np.int64)
-    several[order], least[order] = (classes > 1)[of_gram], ids[order][new][of_class]
-    some = several | (least < ids) | ((rows[:, 1] & _ONE) > 0)
-    return _back(chunks, np.column_stack([contexts[some] | several[some].astype(np.uint64), least[some].view(np.uint64)]), of[some])
+    several[order], least[order] = np.repeat(others[of_string], sizes), np.repeat(ids[order][class_edges], sizes)
+    some = several | (least < ids) | ((rows[:, 1] & ~_EVEN) > 0)
+    return _back(chunks, np.stack([classes[some], least[some].view(np.uint64), several[some].astype(np.uint64)], axis=1), of[some])
 
 
 def _first(chunks, blobs):
     """Step 3: to each chunk the smallest document of each suffix, where it isn't the chunk's only one."""
-    rows, of = _joined(blobs, 2)
-    keys, ids = rows[:, 0] & _EVEN, np.ascontiguousarray(rows[:, 1]).view(np.int64)
-    order = np.lexsort((ids, keys))
-    new = np.append(True, keys[order][1:] != keys[order][:-1])
+    rows, of = _joined(blobs, 3)
+    first, second, ids = rows[:, 0] & _EVEN, rows[:, 1], np.ascontiguousarray(rows[:, 2]).view(np.int64)
+    order = np.lexsort((ids, second, first))
+    edges = _edges([first[order], second[order]])
     least = np.empty(len(rows), np.int64)
-    least[order] = ids[order][new][np.cumsum(new) - 1]
-    some = (least < ids) | ((rows[:, 0] & _ONE) > 0)
-    return _back(chunks, np.column_stack([keys[some], least[some].view(np.uint64)]), of[some])
+    least[order] = np.repeat(ids[order][edges], np.diff(np.append(edges, len(rows))))
+    some = (least < ids) | ((rows[:, 0] & ~_EVEN) > 0)
+    return _back(chunks, np.stack([first[some], second[some], least[some].view(np.uint64)], axis=1), of[some])
 
 
-def repeats(docs: DataFrame, write_to, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+def repeats(docs: DataFrame, write_to, length: int = LENGTH, gram: int = GRAM, part_bytes: int = PART_BYTES, rounds: int = ROUNDS) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans) of every document; marks are tables at write_to(name), needed until the result is read."""
     spark = docs.sparkSession
-    parts = shuffle_partitions(spark)
-    chunks = buckets = 4 * parts
     if not 0 < gram <= length:
         raise ValueError("the sample strings must not be longer than the strings")
+    v = length - gram + 1
+    total = docs.select(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
+    # a chunk and a bucket are a task's share each, whatever the input's size
+    parts = buckets = max(LEAST_PARTS, -(-total // part_bytes))
     columns = "chunk int, kind int, doc_id long, text string, blob binary"
-    texts = docs.select(F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(chunks)).cast("int").alias("chunk"), F.lit(3).alias("kind"), F.col("doc_id").cast("long"), text_or_empty().alias("text"), F.lit(None).cast("binary").alias("blob"))
+    chunk = F.pmod(F.xxhash64(F.col("doc_id").cast("long"), text_or_empty()), F.lit(parts)).cast("int")
+    texts = docs.select(chunk.alias("chunk"), F.lit(3).alias("kind"), F.col("doc_id").cast("long"), text_or_empty().alias("text"), F.lit(None).cast("binary").alias("blob"))
 
     def dealt(*marks: tuple[int, str]) -> DataFrame:
         rows = texts
         for kind, name in marks:
             rows = rows.unionByName(spark.read.schema("chunk int, blob binary").parquet(write_to(name)).select("chunk", F.lit(kind).alias("kind"), F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text"), "blob"))
         rows = rows.select(*(c.split()[0] for c in columns.split(", ")))
-        return rows.repartition(parts, "chunk").sortWithinPartitions("chunk", "kind", "doc_id")
+        return rows.repartition(parts, "chunk").sortWithinPartitions("chunk", "kind")
 
-    def step(job, resolve, name: str, *marks) -> None:
-        sent = dealt(*marks).mapInArrow(_by_chunk(lambda chunk, held: job(chunk, held, buckets, length, gram)), "bucket int, chunk int, blob binary")
+    def step(job, resolve, name: str, *marks, more: tuple = ()) -> None:
+        sent = dealt(*marks).mapInArrow(_by_chunk(lambda chunk, held: job(chunk, held, buckets, length, gram, *more), length, v), "bucket int, chunk int, blob binary")
         back = sent.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_by_bucket(resolve), "chunk int, blob binary")
         back.write.option("compression", "none").parquet(write_to(name))
 
-    step(_Grams, _shared, "grams")
-    step(_Contexts, _ranked, "contexts", (0, "grams"))
-    step(_Suffixes, _first, "suffixes", (1, "contexts"))
+    step(_Strings, _shared, "strings")
+    step(_Classes, _ranked, "classes", (0, "strings"))
+    for k in range(rounds):
+        step(_Suffixes, _first, f"suffixes{k}", (1, "classes"), more=(k, rounds))
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:bigint,length:bigint>>"
-    return dealt((1, "contexts"), (2, "suffixes")).mapInArrow(_by_chunk(lambda chunk, held: _Bytes(chunk, held, buckets, length, gram)), schema)
+    found = dealt((1, "classes"), *((2, f"suffixes{k}") for k in range(rounds)))
+    return found.mapInArrow(_by_chunk(lambda chunk, held: _Bytes(chunk, held, buckets, length, gram), length, v), schema)
 
 
-def repeated_bytes(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+def repeated_bytes(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, **how) -> DataFrame:
     """repeats() without anything left behind; the result is a checkpoint of its own."""
-    from spidex.llm.common import cut
-
     spark = docs.sparkSession
     with scratch(spark) as path, shuffle_files_removed(spark):
-        return cut(repeats(docs, path, length, gram))
+        return cut(repeats(docs, path, length, gram, **how))
 
 
 #: What op3's query returns in DuckDB's SQL, from every string of 50 bytes.

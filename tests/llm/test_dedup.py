@@ -52,6 +52,26 @@ def test_suffix_random(spark, monkeypatch, length, gram, batch):
     check_bytes(suffix.repeated_bytes(df, length, gram).collect(), [(d, t.encode()) for d, t in docs], length)
 
 
+@pytest.mark.parametrize("piece", [13, 64])
+def test_suffix_in_pieces(spark, monkeypatch, piece):
+    """Long texts are read in pieces, chunks are many, and compaction comes often; the result is the same."""
+    monkeypatch.setattr(suffix, "PIECE", piece)
+    monkeypatch.setattr(suffix, "HELD", 50)
+    monkeypatch.setattr(suffix, "BATCH", 200)
+    rng = random.Random(piece)
+    parts = ["".join(rng.choice("abc") for _ in range(rng.randint(5, 60))) for _ in range(20)]
+    docs = [(rng.choice([None, k, k]), "".join(rng.choice(parts) + rng.choice("xyz") * rng.randint(0, 3) for _ in range(rng.randint(0, 12)))) for k in range(80)]
+    docs += docs[:5]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    check_bytes(suffix.repeated_bytes(df, 12, 6, part_bytes=200, rounds=3).collect(), [(d, t.encode()) for d, t in docs], 12)
+
+
+def test_difference_covers():
+    for v in range(1, 70):
+        cover = suffix.difference_cover(v)
+        assert {(a - b) % v for a in cover for b in cover} == set(range(v)) and len(cover) <= 2 * v**0.5 + 2
+
+
 def test_suffix_odd(spark, odd_docs, no_docs):
     rows = suffix.repeated_bytes(odd_docs).collect()
     docs = [(d, t.encode()) for d, t in texts_of(odd_docs)]
