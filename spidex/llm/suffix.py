@@ -14,7 +14,7 @@ Steps, each a pass over the texts, which are dealt by hash to chunks of about ``
 4. Bytes: what steps 2 and 3 found is marked in each text.
 
 A chunk sends each string once, whatever its documents repeat, so no bucket gathers more rows of a string than there are chunks.
-Step 1 compares 63-bit hashes, where a chance agreement costs time alone. Classes are compared by another 63 among those of one sample
+Step 1 compares 39 bits of hashes within a bucket of bounded size, where a chance agreement costs time alone. Classes are compared by another 63 among those of one sample
 string, single suffixes by two hashes of 63 and 64 bits.
 
 Defined results: a null or empty text has nothing to remove; strings never cross documents; equal ids (or a null id, which is
@@ -142,17 +142,27 @@ def _find(keys: np.ndarray, table: np.ndarray) -> np.ndarray:
     return np.where(table[at] == keys, at, -1)
 
 
-def _split(keys: np.ndarray, buckets: int) -> np.ndarray:
-    """Bounds of each bucket in sorted keys: buckets are equal ranges of hashes."""
-    number = ((keys >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
-    return np.searchsorted(number, np.arange(buckets + 1, dtype=np.uint64))
+def _bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """Buckets are equal ranges of hashes."""
+    return ((keys >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
 
 
-def _blobs(rows: np.ndarray, keys: np.ndarray, chunk: int, buckets: int):
+def _short(keys: np.ndarray) -> bytes:
+    """The last five bytes of each hash: among the strings of one bucket, whose number has a bound, they seldom agree by chance."""
+    return np.ascontiguousarray(keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
+
+
+def _from_short(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // 5, 8), np.uint8)
+    out[:, :5] = np.frombuffer(data, np.uint8).reshape(-1, 5)
+    return out.view("<u8")[:, 0]
+
+
+def _blobs(rows: np.ndarray, keys: np.ndarray, chunk: int, buckets: int, packed=lambda rows: rows.tobytes()):
     """A batch of (bucket, chunk, blob) for rows sorted by keys."""
-    cuts = _split(keys, buckets).tolist()
+    cuts = np.searchsorted(_bucket(keys, buckets), np.arange(buckets + 1, dtype=np.uint64)).tolist()
     some = [k for k in range(buckets) if cuts[k] < cuts[k + 1]]
-    columns = [pa.array(some, pa.int32()), pa.array([chunk] * len(some), pa.int32()), pa.array([rows[cuts[k] : cuts[k + 1]].tobytes() for k in some], pa.binary())]
+    columns = [pa.array(some, pa.int32()), pa.array([chunk] * len(some), pa.int32()), pa.array([packed(rows[cuts[k] : cuts[k + 1]]) for k in some], pa.binary())]
     return pa.RecordBatch.from_arrays(columns, names=["bucket", "chunk", "blob"])
 
 
@@ -211,7 +221,7 @@ def _by_chunk(work, length: int, v: int):
                     marks[kind].append(blob)
                     continue
                 if job is None:
-                    job = work(chunk, [b"".join(m) for m in marks])
+                    job = work(chunk, marks)
                 for piece in pieces(NOBODY if doc_id is None else doc_id, text.encode(), length, v):
                     if held and size + len(piece.data) > BATCH:
                         yield from fed()
@@ -225,9 +235,9 @@ def _by_chunk(work, length: int, v: int):
     return run
 
 
-def _table(blob: bytes, width: int) -> np.ndarray:
+def _table(blobs: list[bytes], width: int) -> np.ndarray:
     """Rows in order of their first number."""
-    rows = np.frombuffer(blob, np.uint64).reshape(-1, width)
+    rows = np.frombuffer(b"".join(blobs), np.uint64).reshape(-1, width)
     return rows[np.argsort(rows[:, 0], kind="stable")]
 
 
@@ -242,12 +252,12 @@ class _Strings:
         self.least.add([sample.strings()], sample.ids[sample.of])
 
     def rows(self, keys, ids, several):
-        return (keys[0] | several)[:, None]
+        return _blobs(keys[0] | several, keys[0], self.chunk, self.buckets, _short)
 
     def end(self):
         *keys, ids, several = self.least.compact()
         if len(ids):
-            yield _blobs(np.ascontiguousarray(self.rows(keys, ids, several.astype(np.uint64))), keys[0], self.chunk, self.buckets)
+            yield self.rows(keys, ids, several.astype(np.uint64))
 
 
 class _Classes(_Strings):
@@ -255,16 +265,17 @@ class _Classes(_Strings):
 
     def __init__(self, chunk, marks, *how):
         super().__init__(chunk, marks, *how)
-        self.shared = np.sort(np.frombuffer(marks[0], np.uint64))
+        self.shared = np.sort(np.concatenate([np.zeros(0, np.uint64), *(_from_short(b[8:]) | np.uint64(int.from_bytes(b[:8], "little") << 40) for b in marks[0])]))
 
     def feed(self, some):
         sample = Sample(some, *self.how)
         strings = sample.strings()
-        known = np.flatnonzero(_find(strings, self.shared) >= 0)
+        placed = _bucket(strings, self.buckets) << np.uint64(40) | strings & np.uint64((1 << 40) - 1)
+        known = np.flatnonzero(_find(placed, self.shared) >= 0)
         self.least.add([strings[known], sample.classes(known)], sample.ids[sample.of[known]])
 
     def rows(self, keys, ids, several):
-        return np.stack([keys[0], keys[1] | several, ids.view(np.uint64)], axis=1)
+        return _blobs(np.stack([keys[0], keys[1] | several, ids.view(np.uint64)], axis=1), keys[0], self.chunk, self.buckets)
 
 
 class _Suffixes(_Strings):
@@ -294,7 +305,7 @@ class _Suffixes(_Strings):
         self.least.add([first[mine], second[mine]], sample.ids[np.searchsorted(sample.ends, start[mine], side="right")])
 
     def rows(self, keys, ids, several):
-        return np.stack([keys[0] | several, keys[1], ids.view(np.uint64)], axis=1)
+        return _blobs(np.stack([keys[0] | several, keys[1], ids.view(np.uint64)], axis=1), keys[0], self.chunk, self.buckets)
 
 
 class _Bytes(_Suffixes):
@@ -365,13 +376,13 @@ def _cut_out(id_: int, parts, size: int, a: np.ndarray, b: np.ndarray) -> tuple:
 
 
 def _by_bucket(resolve):
-    """Runs resolve(chunks, arrays) for each bucket of rows (bucket, chunk, blob) sorted by bucket: it gives (chunk, bytes) to send back."""
+    """Runs resolve(bucket, chunks, arrays) for each bucket of rows (bucket, chunk, blob) sorted by bucket: it gives (chunk, bytes) to send back."""
 
     def run(batches_):
         bucket, chunks, blobs = None, [], []
 
         def done():
-            back = [(c, b) for c, b in resolve(chunks, blobs) if b]
+            back = [(c, b) for c, b in resolve(bucket, chunks, blobs) if b]
             return pa.RecordBatch.from_arrays([pa.array([c for c, _ in back], pa.int32()), pa.array([b for _, b in back], pa.binary())], names=["chunk", "blob"])
 
         for batch in batches_:
@@ -394,23 +405,23 @@ def _joined(blobs: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
     return rows, np.repeat(np.arange(len(blobs)), [len(b) // (8 * width) for b in blobs])
 
 
-def _back(chunks, rows, of):
+def _back(chunks, rows, of, packed=lambda rows: rows.tobytes()):
     cuts = np.searchsorted(of, np.arange(len(chunks) + 1))
-    return [(c, np.ascontiguousarray(rows[cuts[k] : cuts[k + 1]]).tobytes()) for k, c in enumerate(chunks)]
+    return [(c, packed(rows[cuts[k] : cuts[k + 1]])) for k, c in enumerate(chunks)]
 
 
-def _shared(chunks, blobs):
+def _shared(bucket, chunks, blobs):
     """Step 1: to each chunk those of its strings that another document has."""
-    rows, of = _joined(blobs, 1)
-    keys = rows[:, 0] & _EVEN
+    rows, of = _from_short(b"".join(blobs)), np.repeat(np.arange(len(blobs)), [len(b) // 5 for b in blobs])
+    keys = rows & _EVEN
     _, at, n = np.unique(keys, return_inverse=True, return_counts=True)
     several = n > 1
-    several[at[(rows[:, 0] & ~_EVEN) > 0]] = True
+    several[at[(rows & ~_EVEN) > 0]] = True
     some = several[at]
-    return _back(chunks, keys[some], of[some])
+    return [(c, bucket.to_bytes(8, "little") + b) for c, b in _back(chunks, keys[some], of[some], _short) if b]
 
 
-def _ranked(chunks, blobs):
+def _ranked(bucket, chunks, blobs):
     """Step 2: to each chunk (class, its smallest document, whether its sample string has others) where that matters."""
     rows, of = _joined(blobs, 3)
     strings, classes, ids = rows[:, 0], rows[:, 1] & _EVEN, np.ascontiguousarray(rows[:, 2]).view(np.int64)
@@ -425,7 +436,7 @@ def _ranked(chunks, blobs):
     return _back(chunks, np.stack([classes[some], least[some].view(np.uint64), several[some].astype(np.uint64)], axis=1), of[some])
 
 
-def _first(chunks, blobs):
+def _first(bucket, chunks, blobs):
     """Step 3: to each chunk the smallest document of each suffix, where it isn't the chunk's only one."""
     rows, of = _joined(blobs, 3)
     first, second, ids = rows[:, 0] & _EVEN, rows[:, 1], np.ascontiguousarray(rows[:, 2]).view(np.int64)
@@ -464,6 +475,8 @@ def repeats(docs: DataFrame, write_to, length: int = LENGTH, gram: int = GRAM, p
 
     step(_Strings, _shared, "strings")
     step(_Classes, _ranked, "classes", (0, "strings"))
+    done = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(write_to("strings"))
+    done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(done, True)
     for k in range(rounds):
         step(_Suffixes, _first, f"suffixes{k}", (1, "classes"), more=(k, rounds))
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:bigint,length:bigint>>"
