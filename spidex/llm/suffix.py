@@ -158,7 +158,21 @@ def _from_short(data: bytes) -> np.ndarray:
     return out.view("<u8")[:, 0]
 
 
-def _blobs(rows: np.ndarray, keys: np.ndarray, chunk: int, buckets: int, packed=lambda rows: rows.tobytes()):
+def _packed(rows: np.ndarray) -> bytes:
+    """Hashes and, last, ids of some rows, column by column; ids byte by byte of all rows, so that compression takes their zeros."""
+    ids = np.ascontiguousarray(rows[:, -1]).astype("<u8").view(np.uint8).reshape(-1, 8)
+    return np.ascontiguousarray(rows[:, :-1].T).tobytes() + np.ascontiguousarray(ids.T).tobytes()
+
+
+def _unpacked(data: bytes, width: int) -> np.ndarray:
+    n = len(data) // (8 * width)
+    out = np.empty((n, width), np.uint64)
+    out[:, :-1] = np.frombuffer(data, np.uint64, n * (width - 1)).reshape(width - 1, n).T
+    out[:, -1] = np.ascontiguousarray(np.frombuffer(data, np.uint8, 8 * n, 8 * n * (width - 1)).reshape(8, n).T).view("<u8")[:, 0]
+    return out
+
+
+def _blobs(rows: np.ndarray, keys: np.ndarray, chunk: int, buckets: int, packed=_packed):
     """A batch of (bucket, chunk, blob) for rows sorted by keys."""
     cuts = np.searchsorted(_bucket(keys, buckets), np.arange(buckets + 1, dtype=np.uint64)).tolist()
     some = [k for k in range(buckets) if cuts[k] < cuts[k + 1]]
@@ -237,7 +251,7 @@ def _by_chunk(work, length: int, v: int):
 
 def _table(blobs: list[bytes], width: int) -> np.ndarray:
     """Rows in order of their first number."""
-    rows = np.frombuffer(b"".join(blobs), np.uint64).reshape(-1, width)
+    rows = np.concatenate([np.zeros((0, width), np.uint64), *(_unpacked(b, width) for b in blobs)])
     return rows[np.argsort(rows[:, 0], kind="stable")]
 
 
@@ -275,7 +289,8 @@ class _Classes(_Strings):
         self.least.add([strings[known], sample.classes(known)], sample.ids[sample.of[known]])
 
     def rows(self, keys, ids, several):
-        return _blobs(np.stack([keys[0], keys[1] | several, ids.view(np.uint64)], axis=1), keys[0], self.chunk, self.buckets)
+        rows = np.stack([keys[0], keys[1] | several, ids.view(np.uint64)], axis=1)
+        return _blobs(rows, keys[0], self.chunk, self.buckets, lambda rows: _short(rows[:, 0]) + _packed(rows[:, 1:]))
 
 
 class _Suffixes(_Strings):
@@ -283,9 +298,9 @@ class _Suffixes(_Strings):
 
     def __init__(self, chunk, marks, buckets, length, gram, part=0, parts=1):
         super().__init__(chunk, marks, buckets, length, gram)
-        table = _table(marks[1], 3)
-        self.known, self.least_of = np.ascontiguousarray(table[:, 0]), np.ascontiguousarray(table[:, 1]).view(np.int64)
-        self.several, self.part, self.parts = table[:, 2] > 0, np.uint64(part), np.uint64(parts)
+        table = _table(marks[1], 2)
+        self.known, self.least_of = table[:, 0] & _EVEN, np.ascontiguousarray(table[:, 1]).view(np.int64)
+        self.several, self.part, self.parts = (table[:, 0] & ~_EVEN) > 0, np.uint64(part), np.uint64(parts)
 
     def resolved(self, sample) -> tuple[np.ndarray, np.ndarray]:
         """Samples all whose suffixes repeat; and places of suffixes that are looked at one by one."""
@@ -305,7 +320,7 @@ class _Suffixes(_Strings):
         self.least.add([first[mine], second[mine]], sample.ids[np.searchsorted(sample.ends, start[mine], side="right")])
 
     def rows(self, keys, ids, several):
-        return _blobs(np.stack([keys[0] | several, keys[1], ids.view(np.uint64)], axis=1), keys[0], self.chunk, self.buckets)
+        return _blobs(np.stack([keys[0] | several, keys[1], ids.view(np.uint64)], axis=1), keys[0], self.chunk, self.buckets, _packed)
 
 
 class _Bytes(_Suffixes):
@@ -399,13 +414,7 @@ def _by_bucket(resolve):
     return run
 
 
-def _joined(blobs: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
-    """All rows of the blobs, and the blob of each."""
-    rows = np.frombuffer(b"".join(blobs), np.uint64).reshape(-1, width)
-    return rows, np.repeat(np.arange(len(blobs)), [len(b) // (8 * width) for b in blobs])
-
-
-def _back(chunks, rows, of, packed=lambda rows: rows.tobytes()):
+def _back(chunks, rows, of, packed=_packed):
     cuts = np.searchsorted(of, np.arange(len(chunks) + 1))
     return [(c, packed(rows[cuts[k] : cuts[k + 1]])) for k, c in enumerate(chunks)]
 
@@ -423,8 +432,10 @@ def _shared(bucket, chunks, blobs):
 
 def _ranked(bucket, chunks, blobs):
     """Step 2: to each chunk (class, its smallest document, whether its sample string has others) where that matters."""
-    rows, of = _joined(blobs, 3)
-    strings, classes, ids = rows[:, 0], rows[:, 1] & _EVEN, np.ascontiguousarray(rows[:, 2]).view(np.int64)
+    n = [len(b) // 21 for b in blobs]
+    strings = np.concatenate([_from_short(b[: 5 * k]) for b, k in zip(blobs, n)])
+    rows, of = np.concatenate([_unpacked(b[5 * k :], 2) for b, k in zip(blobs, n)]), np.repeat(np.arange(len(blobs)), n)
+    classes, ids = rows[:, 0] & _EVEN, np.ascontiguousarray(rows[:, 1]).view(np.int64)
     order = np.lexsort((ids, classes, strings))
     string_edges, class_edges = _edges([strings[order]]), _edges([strings[order], classes[order]])
     sizes = np.diff(np.append(class_edges, len(rows)))
@@ -432,13 +443,14 @@ def _ranked(bucket, chunks, blobs):
     others = np.bincount(of_string, minlength=len(string_edges)) > 1
     several, least = np.empty(len(rows), bool), np.empty(len(rows), np.int64)
     several[order], least[order] = np.repeat(others[of_string], sizes), np.repeat(ids[order][class_edges], sizes)
-    some = several | (least < ids) | ((rows[:, 1] & ~_EVEN) > 0)
-    return _back(chunks, np.stack([classes[some], least[some].view(np.uint64), several[some].astype(np.uint64)], axis=1), of[some])
+    some = several | (least < ids) | ((rows[:, 0] & ~_EVEN) > 0)
+    return _back(chunks, np.stack([classes[some] | several[some].astype(np.uint64), least[some].view(np.uint64)], axis=1), of[some])
 
 
 def _first(bucket, chunks, blobs):
     """Step 3: to each chunk the smallest document of each suffix, where it isn't the chunk's only one."""
-    rows, of = _joined(blobs, 3)
+    rows = np.concatenate([_unpacked(b, 3) for b in blobs])
+    of = np.repeat(np.arange(len(blobs)), [len(b) // 24 for b in blobs])
     first, second, ids = rows[:, 0] & _EVEN, rows[:, 1], np.ascontiguousarray(rows[:, 2]).view(np.int64)
     order = np.lexsort((ids, second, first))
     edges = _edges([first[order], second[order]])
@@ -471,7 +483,7 @@ def repeats(docs: DataFrame, write_to, length: int = LENGTH, gram: int = GRAM, p
     def step(job, resolve, name: str, *marks, more: tuple = ()) -> None:
         sent = dealt(*marks).mapInArrow(_by_chunk(lambda chunk, held: job(chunk, held, buckets, length, gram, *more), length, v), "bucket int, chunk int, blob binary")
         back = sent.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_by_bucket(resolve), "chunk int, blob binary")
-        back.write.option("compression", "none").parquet(write_to(name))
+        back.write.parquet(write_to(name))
 
     step(_Strings, _shared, "strings")
     step(_Classes, _ranked, "classes", (0, "strings"))
