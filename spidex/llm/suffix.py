@@ -134,12 +134,26 @@ class Sample:
         return self._hash(start, end, self.prefix) & _EVEN, self._hash(start, end, self._prefix(_OTHER))
 
 
-def _find(keys: np.ndarray, table: np.ndarray) -> np.ndarray:
-    """The index of each key in a sorted table, -1 where it has none."""
-    if not len(table):
-        return np.full(len(keys), -1)
-    at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
-    return np.where(table[at] == keys, at, -1)
+class _Lookup:
+    """A sorted table of hashes. Most keys that aren't in it are told by one bit, without a search."""
+
+    def __init__(self, table: np.ndarray):
+        self.table = np.ascontiguousarray(table)
+        self.mask = np.uint64((1 << max(10, min(26, (8 * len(table)).bit_length()))) - 1)
+        self.bits = np.zeros(int(self.mask) + 1, bool)
+        self.bits[self.place(self.table)] = True
+
+    def place(self, keys: np.ndarray) -> np.ndarray:
+        return (keys >> np.uint64(1)) & self.mask
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which keys are in the table, and where."""
+        some = np.flatnonzero(self.bits[self.place(keys)])
+        if not len(some):
+            return some, some
+        at = np.minimum(np.searchsorted(self.table, keys[some]), len(self.table) - 1)
+        here = self.table[at] == keys[some]
+        return some[here], at[here]
 
 
 def _bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
@@ -204,12 +218,14 @@ class _Least:
 
     def compact(self) -> list[np.ndarray]:
         *keys, ids, several = (np.concatenate(c) for c in zip(*self.held))
-        order = np.lexsort((ids, *keys[::-1]))
+        order = np.argsort(keys[0]) if len(keys) == 1 else np.lexsort(keys[::-1])
         keys, ids, several = [k[order] for k in keys], ids[order], several[order]
         first = _edges(keys) if len(ids) else np.zeros(0, np.int64)
-        last = np.append(first[1:], len(ids))[: len(first)] - 1
-        some = (np.logical_or.reduceat(several, first) if len(first) else several) | (ids[first] != ids[last])
-        self.held = [[*(k[first] for k in keys), ids[first], some]]
+        least = ids
+        if len(first):
+            least = np.minimum.reduceat(ids, first)
+            several = np.logical_or.reduceat(several, first) | (least != np.maximum.reduceat(ids, first))
+        self.held = [[*(k[first] for k in keys), least, several]]
         self.size = len(first)
         return self.held[0]
 
@@ -279,13 +295,13 @@ class _Classes(_Strings):
 
     def __init__(self, chunk, marks, *how):
         super().__init__(chunk, marks, *how)
-        self.shared = np.sort(np.concatenate([np.zeros(0, np.uint64), *(_from_short(b[8:]) | np.uint64(int.from_bytes(b[:8], "little") << 40) for b in marks[0])]))
+        self.shared = _Lookup(np.sort(np.concatenate([np.zeros(0, np.uint64), *(_from_short(b[8:]) | np.uint64(int.from_bytes(b[:8], "little") << 40) for b in marks[0])])))
 
     def feed(self, some):
         sample = Sample(some, *self.how)
         strings = sample.strings()
         placed = _bucket(strings, self.buckets) << np.uint64(40) | strings & np.uint64((1 << 40) - 1)
-        known = np.flatnonzero(_find(placed, self.shared) >= 0)
+        known, _ = self.shared.find(placed)
         self.least.add([strings[known], sample.classes(known)], sample.ids[sample.of[known]])
 
     def rows(self, keys, ids, several):
@@ -299,17 +315,16 @@ class _Suffixes(_Strings):
     def __init__(self, chunk, marks, buckets, length, gram, part=0, parts=1):
         super().__init__(chunk, marks, buckets, length, gram)
         table = _table(marks[1], 2)
-        self.known, self.least_of = table[:, 0] & _EVEN, np.ascontiguousarray(table[:, 1]).view(np.int64)
+        self.known, self.least_of = _Lookup(table[:, 0] & _EVEN), np.ascontiguousarray(table[:, 1]).view(np.int64)
         self.several, self.part, self.parts = (table[:, 0] & ~_EVEN) > 0, np.uint64(part), np.uint64(parts)
 
     def resolved(self, sample) -> tuple[np.ndarray, np.ndarray]:
         """Samples all whose suffixes repeat; and places of suffixes that are looked at one by one."""
-        if not len(sample.at) or not len(self.known):
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        at = _find(sample.classes(np.arange(len(sample.at))), self.known)
-        some = np.flatnonzero(at >= 0)
-        later = sample.ids[sample.of[some]] > self.least_of[at[some]]
-        gone, open_ = some[later], some[self.several[at[some]]]
+        some, at = self.known.find(sample.classes(np.arange(len(sample.at))))
+        if not len(some):
+            return some, some
+        later = sample.ids[sample.of[some]] > self.least_of[at]
+        gone, open_ = some[later], some[self.several[at]]
         return gone, np.flatnonzero(sample.reached(open_) & ~sample.reached(gone) & sample.own)
 
     def feed(self, some):
@@ -329,19 +344,17 @@ class _Bytes(_Suffixes):
     def __init__(self, chunk, marks, *how):
         super().__init__(chunk, marks, *how)
         table = _table(marks[2], 3)
-        self.first, self.second, self.first_of = (np.ascontiguousarray(table[:, k]) for k in range(3))
+        self.first, self.second, self.first_of = _Lookup(table[:, 0]), np.ascontiguousarray(table[:, 1]), np.ascontiguousarray(table[:, 2]).view(np.int64)
         self.long: list = []  # of a text in several pieces: its pieces' own bytes and spans so far
 
     def spans(self, sample) -> tuple[np.ndarray, np.ndarray]:
         """Bounds of what goes, apart from each other and in order."""
         gone, start = self.resolved(sample)
-        if len(start) and len(self.first):
+        if len(start):
             first, second = sample.suffixes(start)
-            at = _find(first, self.first)
-            ids = sample.ids[np.searchsorted(sample.ends, start, side="right")]
-            start = start[(at >= 0) & (self.second[at] == second) & (ids > self.first_of.view(np.int64)[at])]
-        else:
-            start = start[:0]
+            some, at = self.first.find(first)
+            ids = sample.ids[np.searchsorted(sample.ends, start[some], side="right")]
+            start = start[some[(self.second[at] == second[some]) & (ids > self.first_of[at])]]
         return _union(np.concatenate([sample.low[gone], start]), np.concatenate([sample.last[gone], start]) + sample.length)
 
     def feed(self, some):
