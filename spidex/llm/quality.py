@@ -1,18 +1,21 @@
 """Quality classifier: hierarchical empirical Bayes over documents, paths and hosts.
 
 Document evidence: which hashed words and shape levels a text has, weighed by the log-odds between rejected and good
-labelled rows (quality 0 or toxic 1 against the rest), from a sample of at most ``sample_rows`` labelled rows; only
-odds of ``least_odds`` or more, beyond ``least_z`` standard errors, of words that rejected rows have after ``least_contexts`` or more different words (copies of one text have them after the same), count, and a text's evidence is the sum of its ``top`` strongest, so long texts
-don't gather noise. Tables have ``BUCKETS`` entries whatever the corpus.
-
-Sites: a host (``source``) and a path on it (``source``, ``lang``) have beta posteriors of being rejected, from the labels of
-all their documents by grouped aggregation. A path shrinks toward its host and a host toward the global rate; how much is
-estimated from the spread between hosts and between paths by moments, so sparse sites have the prior of what is above them.
-The path's posterior is the prior of its documents, to which the evidence is added.
-
-Defined results: a null text is an empty one; a null source or lang is a site of its own; a document without labelled
-neighbours has the global prior; without labels nothing is rejected; rows with one doc_id share a label; rows with a null doc_id
-have none; ``classify`` keeps no other column than doc_id, ``kept_documents`` keeps all.
+labelled rows (quality 0 or toxic 1 against the rest), from a sample of at most ``sample_rows`` labelled rows. Only odds of
+``least_odds`` or more, beyond ``least_z`` standard errors, of words that rejected rows have after ``least_contexts`` or more different
+words (copies of one text have them after the same) are evidence, and a text's evidence is the sum of all of them. Common words
+are none, for or against: one insult in a long text outweighs any number of them. Tables have ``BUCKETS`` entries whatever the corpus.
+
+Sites: a host (column ``host``, here ``source``) and a path on it (``path``; ``documents`` has none, so ``lang`` stands for it) have
+beta posteriors of being rejected, from the labels of all their documents by grouped aggregation. A path shrinks toward its host and
+a host toward the global rate; how much is estimated from the spread between hosts and between paths by moments, so sparse sites have
+the prior of what is above them. The path's posterior is the prior of its documents, to which the evidence is added.
+
+Defined results: a null text is an empty one; a null host or path is a site of its own; a document without labelled
+neighbours has the global prior; without labels nothing is rejected; rows with one doc_id share a label, the worst; rows with a null
+doc_id have none; a probability of exactly ``reject_at`` is kept; of labelled rows beyond the sample those with the smallest hashes of
+doc_id are taken; a text of any length is read whole, some dozens of bytes for each of its bytes; an empty table gives an
+empty result; ``classify`` keeps no other column than doc_id, ``kept_documents`` keeps all, whatever their names.
 """
 
 from __future__ import annotations
@@ -95,17 +98,17 @@ def word_odds(docs: DataFrame, labels: DataFrame, sample_rows: int = 50_000, lea
     return np.where((z >= least_z) & (odds >= least_odds) & (np.bitwise_count(near[:-1]) >= least_contexts), np.minimum(odds, 8.0), 0.0)
 
 
-def evidence(docs: DataFrame, odds: np.ndarray, top: int = 3) -> DataFrame:
-    """(doc_id, source, lang, evidence) of every document."""
+def evidence(docs: DataFrame, odds: np.ndarray, host: str = "source", path: str = "lang") -> DataFrame:
+    """(doc_id, source, lang, evidence) of every document; source is its host, lang its path."""
     shared = docs.sparkSession.sparkContext.broadcast(odds.astype(np.float32))
 
     def run(batches_):
         table = shared.value
         for batch in batches_:
-            found = [float(np.sort(table[features(t.as_py().encode())])[-top:].sum(dtype=np.float64)) for t in batch.column(3)]
+            found = [float(table[features(t.as_py().encode())].sum(dtype=np.float64)) for t in batch.column(3)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(found, pa.float64())], names=["doc_id", "source", "lang", "evidence"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.col("lang").cast("string"), text_or_empty().alias("text")).mapInArrow(run, "doc_id long, source string, lang string, evidence double")
+    return docs.select(F.col("doc_id").cast("long"), F.col(host).cast("string").alias("source"), F.col(path).cast("string").alias("lang"), text_or_empty().alias("text")).mapInArrow(run, "doc_id long, source string, lang string, evidence double")
 
 
 def _strength(groups: DataFrame, above: str) -> float:
@@ -133,9 +136,9 @@ def site_priors(sites: DataFrame, labels: DataFrame) -> tuple[DataFrame, float]:
     return nested.select(F.col("source").alias("s"), F.col("lang").alias("l"), ((F.col("bad") + k * F.col("host_rate")) / (F.col("n") + k)).alias("prior")), rate
 
 
-def classify(docs: DataFrame, labels: DataFrame, sample_rows: int = 50_000, top: int = 3, reject_at: float = 0.9) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, sample_rows: int = 50_000, reject_at: float = 0.9, host: str = "source", path: str = "lang") -> DataFrame:
     """(doc_id, p_bad, kept) of every document."""
-    scored = cut(evidence(docs, word_odds(docs, labels, sample_rows), top))
+    scored = cut(evidence(docs, word_odds(docs, labels, sample_rows), host, path))
     priors, rate = site_priors(scored.select("doc_id", "source", "lang"), labels)
     if not rate:
         return scored.select("doc_id", F.lit(0.0).alias("p_bad"), F.lit(True).alias("kept"))
