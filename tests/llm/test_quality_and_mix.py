@@ -209,3 +209,61 @@ def test_segments_cover_the_text():
     q, _ = net.forward(np.ascontiguousarray(x.T))
     whole = q.transpose(1, 0, 2).reshape(-1, 2)[:n].mean(axis=0)
     assert net.documents([b"", text, b"abc", text])[[1, 3]] == pytest.approx(np.array([whole, whole]), abs=1e-5)
+
+
+def test_tilts_solve_the_dual(spark):
+    """Against bisection of each source's own equation in plain Python."""
+    rng = random.Random(3)
+    histogram = [(s, size, rng.randint(1, 40)) for s in "abc" for size in rng.sample(range(1, 900), 60)]
+    sizes = Counter()
+    for s, size, n in histogram:
+        sizes[s] += size * n
+    wanted = {"a": 0.3 * sizes["a"], "b": 1.1 * sizes["b"], "c": 1.9 * sizes["c"]}
+    sources = spark.createDataFrame([(s, sizes[s], wanted[s]) for s in "abc"], "source_key string, source_size long, target double")
+    found = {r.source_key: r for r in mixing.tilts(spark.createDataFrame(histogram, "source_key string, size long, n long"), sources).collect()}
+    for s in "abc":
+        rows = [(size, n) for k, size, n in histogram if k == s]
+        mean = sum(size * n for size, n in rows) / sum(n for _, n in rows)
+        got = lambda tilt: sum(n * size * 2 / (1 + np.exp(-tilt * size / mean)) for size, n in rows)  # noqa: E731, B023
+        lo, hi = -50.0, 50.0
+        for _ in range(200):
+            lo, hi = ((lo + hi) / 2, hi) if got((lo + hi) / 2) < wanted[s] else (lo, (lo + hi) / 2)
+        assert found[s].mean == pytest.approx(mean) and found[s].tilt == pytest.approx(lo, rel=1e-4)
+
+
+def test_mix_does_not_depend_on_how_rows_are_dealt(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    once = {r.doc_id: r.copies for r in mixing.mix(docs.repartition(7)).collect()}
+    assert once == {r.doc_id: r.copies for r in mixing.mix(docs.orderBy("text").repartition(3)).collect()}
+
+
+def test_network_against_plain_loops():
+    """Each byte of a text by scalar arithmetic: both directions, within its segment."""
+    rng = np.random.default_rng(5)
+    net = langid.Network(["x", "y", "z"], units=3)
+    soft = lambda v: v / (1 + abs(v))
+
+    def states(data, table, u):
+        h, out = [0.0] * 3, []
+        for byte in data:
+            a, new = table[byte], []
+            m = [sum(h[i] * u[i][k] for i in range(3)) for k in range(9)]
+            for j in range(3):
+                z, r = soft(a[j] + m[j]) / 2 + 0.5, soft(a[3 + j] + m[3 + j]) / 2 + 0.5
+                new.append(h[j] + z * (soft(a[6 + j] + r * m[6 + j]) - h[j]))
+            h = new
+            out.append(h)
+        return out
+
+    texts = [bytes(rng.integers(1, 256, n).astype(np.uint8)) for n in (1, 63, 64, 65, 200)]
+    p = {k: v.astype(float).tolist() for k, v in net.p.items()}
+    for text, got in zip(texts, net.documents(texts)):
+        total = np.zeros(3)
+        for a in range(0, len(text), langid.SEGMENT):
+            part = text[a : a + langid.SEGMENT].ljust(langid.SEGMENT, b"\0")
+            forward, backward = states(part, p["tf"], p["uf"]), states(part[::-1], p["tb"], p["ub"])[::-1]
+            for f, b in list(zip(forward, backward))[: len(text) - a]:
+                logits = [sum(x * p["v"][i][k] for i, x in enumerate(f + b)) + p["b"][k] for k in range(3)]
+                e = np.exp(np.array(logits) - max(logits))
+                total += e / e.sum()
+        assert got == pytest.approx(total / len(text), abs=2e-5)
