@@ -1,7 +1,7 @@
 """Quality rules: base counts of each text, and a hashed n-gram log-likelihood ratio.
 
-Two multinomials over ``BUCKETS`` hashed byte n-grams: of trusted texts (at most ``trusted_rows`` labelled ones, those
-of the smallest hashes of doc_id) and of the raw corpus (every text, whole). A text's score is the mean over its n-grams of
+Two multinomials over ``BUCKETS`` hashed byte n-grams: of trusted texts (every one that is labelled good and not
+toxic) and of the raw corpus (every text), all whole. A text's score is the mean over its n-grams of
 log p_trusted / p_raw, so length doesn't matter; it is kept at ``threshold`` or above. Both tables have a fixed size
 whatever the corpus, so they are summed on the driver and broadcast.
 
@@ -44,31 +44,32 @@ def base_counts(texts: list[bytes]) -> list[tuple]:
     return out
 
 
-def trusted_ids(labels: DataFrame, rows: int) -> DataFrame:
-    good = labels.filter("quality = 1 and coalesce(toxic, 0) = 0 and doc_id is not null").select(F.col("doc_id").cast("long")).distinct()
-    return good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+def trusted_ids(labels: DataFrame) -> DataFrame:
+    return labels.filter("quality = 1 and coalesce(toxic, 0) = 0 and doc_id is not null").select(F.col("doc_id").cast("long")).distinct()
 
 
-def log_ratio(docs: DataFrame, labels: DataFrame, trusted_rows: int = 20_000) -> np.ndarray:
-    """log p_trusted / p_raw of each bucket."""
-    # as many ids as ``trusted_rows`` at most
-    flagged = docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text")).join(F.broadcast(trusted_ids(labels, trusted_rows).withColumn("trusted", F.lit(True))), "doc_id", "left")
+def gram_counts(docs: DataFrame) -> np.ndarray:
+    """How often each bucket comes in all texts."""
 
     def run(batches_):
-        raw, trusted = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
+        counts = np.zeros(BUCKETS, np.int64)
         for batch in batches_:
-            for text, flag in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                g = grams(np.frombuffer(text.encode(), np.uint8))
-                raw += np.bincount(g, minlength=BUCKETS)
-                if flag:
-                    trusted += np.bincount(g, minlength=BUCKETS)
-        some = np.flatnonzero(raw)
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (some, raw[some], trusted[some])], names=["bucket", "raw", "trusted"])
-
-    sums = flagged.select("text", "trusted").mapInArrow(run, "bucket long, raw long, trusted long").groupBy("bucket").agg(F.sum("raw"), F.sum("trusted")).collect()  # BUCKETS rows at most
-    raw, trusted = np.zeros(BUCKETS), np.zeros(BUCKETS)
-    for b, r, t in sums:
-        raw[b], trusted[b] = r, t
+            for text in batch.column(0).to_pylist():
+                counts += np.bincount(grams(np.frombuffer(text.encode(), np.uint8)), minlength=BUCKETS)
+        some = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(counts[some])], names=["bucket", "n"])
+
+    out = np.zeros(BUCKETS)
+    for b, n in docs.select(text_or_empty().alias("text")).mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n")).collect():  # BUCKETS rows at most
+        out[b] = n
+    return out
+
+
+def log_ratio(docs: DataFrame, labels: DataFrame) -> np.ndarray:
+    """log p_trusted / p_raw of each bucket."""
+    raw = gram_counts(docs)
+    # the ids grow with the labels, so they are dealt with the texts at every size and never broadcast
+    trusted = gram_counts(docs.select(F.col("doc_id").cast("long"), "text").join(trusted_ids(labels).hint("merge"), "doc_id", "left_semi"))
     if not trusted.sum():
         return np.zeros(BUCKETS)
     back = (raw + 0.5) / (raw + 0.5).sum()
@@ -96,5 +97,5 @@ def judge(docs: DataFrame, table: np.ndarray, threshold: float) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text")).mapInArrow(run, BASE + ", score double, kept boolean")
 
 
-def quality_rules(docs: DataFrame, labels: DataFrame, threshold: float = -0.05, trusted_rows: int = 20_000) -> DataFrame:
-    return judge(docs, log_ratio(docs, labels, trusted_rows), threshold)
+def quality_rules(docs: DataFrame, labels: DataFrame, threshold: float = -0.05) -> DataFrame:
+    return judge(docs, log_ratio(docs, labels), threshold)

@@ -62,6 +62,19 @@ def test_rules_odd(spark, odd_docs, no_docs):
     assert rules.quality_rules(no_docs, labels).count() == 0
 
 
+def test_rules_learn_from_every_trusted_text(spark):
+    docs = spark.range(20_600).selectExpr("id as doc_id", "'t' || id as text")
+    labels = docs.selectExpr("doc_id", "int(doc_id < 20500) as quality", "0 as toxic")
+    raw, good = np.zeros(rules.BUCKETS), np.zeros(rules.BUCKETS)
+    for k in range(20_600):
+        g = rules.grams(np.frombuffer(f"t{k}".encode(), np.uint8))
+        np.add.at(raw, g, 1)
+        if k < 20_500:
+            np.add.at(good, g, 1)
+    back = (raw + 0.5) / (raw + 0.5).sum()
+    assert np.allclose(rules.log_ratio(docs, labels), np.log((good + rules.BUCKETS * back) / (good.sum() + rules.BUCKETS)) - np.log(back), rtol=0, atol=1e-12)
+
+
 def corpus(n=1600, seed=1):
     """Documents of which some hold insults or shout; labels say so for half."""
     rng, docs, labels = random.Random(seed), [], []
