@@ -25,7 +25,7 @@ smaller than any) are not smaller than each other; repeated rows of one id keep
 from __future__ import annotations
 
 import hashlib
-from functools import lru_cache
+from functools import cached_property, lru_cache
 from typing import NamedTuple
 
 import numpy as np
@@ -83,8 +83,7 @@ class Sample:
         self.shift = self.ends - sizes - np.array([x.at for x in some], np.int64)  # from a place in the document to one here
         self.ids = np.array([x.id for x in some], np.int64)
         self.data = np.frombuffer(b"\0".join([*(x.data for x in some), b""]), np.uint8)
-        n = len(self.data)
-        marked, self.own = np.zeros(n + 1, bool), np.zeros(n + 1, bool)
+        marked = np.zeros(len(self.data) + 1, bool)
         reach = max((x.last - x.first for x in some), default=0) + 3 * self.v
         tile = np.zeros(self.v, bool)
         tile[list(difference_cover(self.v))] = True
@@ -93,17 +92,38 @@ class Sample:
             if x.size >= length:
                 stop = min(x.last + self.v, x.size - gram + 1)
                 marked[shift + x.first : shift + stop] = tile[x.first % self.v : x.first % self.v + max(0, stop - x.first)]
-                self.own[shift + x.first : shift + min(x.last, x.size - length + 1)] = True
         self.at = np.flatnonzero(marked)
-        self.of = np.searchsorted(self.ends, self.at, side="right")
-        begin, end = self.shift[self.of], self.shift[self.of] + np.array([x.size for x in some], np.int64)[self.of]
-        self.low, self.last, self.high = np.maximum(self.at - self.v + 1, begin), np.minimum(self.at, end - length), np.minimum(self.at + length, end)
-        self.prefix = self._prefix(_BYTE) if len(self.at) else None
-
-    def _prefix(self, table: np.ndarray) -> np.ndarray:
-        up, _ = powers(len(self.data) + 1)
-        out = np.zeros(len(self.data) + 1, np.uint64)
-        np.cumsum(table[self.data] * up[: len(self.data)], out=out[1:])
+        self.of = self.piece_of(self.at)
+        self.prefix = self._prefix(self.data, _BYTE) if len(self.at) else None
+
+    def piece_of(self, places: np.ndarray) -> np.ndarray:
+        """The piece of each of some places, which are in order."""
+        return np.repeat(np.arange(len(self.ends)), np.diff(np.searchsorted(places, self.ends), prepend=0))
+
+    @cached_property
+    def bounds(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """low, last and high of all samples."""
+        begin, end = self.shift, self.shift + np.array([x.size for x in self.pieces], np.int64)
+        return np.maximum(self.at - self.v + 1, begin[self.of]), np.minimum(self.at, (end - self.length)[self.of]), np.minimum(self.at + self.length, end[self.of])
+
+    low, last, high = (property(lambda self, k=k: self.bounds[k]) for k in range(3))
+
+    @cached_property
+    def own(self) -> np.ndarray:
+        """Whether each place is the start of a suffix of its piece."""
+        out = np.zeros(len(self.data) + 1, bool)
+        for x, shift in zip(self.pieces, self.shift.tolist()):
+            if x.size >= self.length:
+                out[shift + x.first : shift + min(x.last, x.size - self.length + 1)] = True
+        return out
+
+    @staticmethod
+    def _prefix(data: np.ndarray, table: np.ndarray) -> np.ndarray:
+        up, _ = powers(len(data) + 1)
+        out = np.zeros(len(data) + 1, np.uint64)
+        values = np.take(table, data)
+        values *= up[: len(data)]
+        np.cumsum(values, out=out[1:])
         return out
 
     def _hash(self, start: np.ndarray, end: np.ndarray, prefix: np.ndarray) -> np.ndarray:
@@ -122,38 +142,98 @@ class Sample:
         return mix(self._hash(low, high, self.prefix) + (at - low).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) & _EVEN
 
     def reached(self, which: np.ndarray) -> np.ndarray:
-        """Whether each place is a suffix that some of these samples stand for."""
-        n = len(self.data) + 2
-        return np.cumsum(np.bincount(self.low[which], minlength=n) - np.bincount(self.last[which] + 1, minlength=n))[: len(self.own)] > 0
+        """Whether each place is a suffix that some of these samples, given in order, stand for."""
+        n = len(self.own)
+        a, b = _union(self.low[which], self.last[which] + 1)
+        turns = np.diff(np.stack([a, b], axis=1).ravel(), prepend=0, append=n)
+        return np.repeat(np.arange(len(turns)) % 2 > 0, turns)
 
     def suffixes(self, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Two hashes of the strings that start at places; the first is even."""
+        """Two hashes of the strings that start at places, which are in order; the first is even."""
         if not len(start):
             return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
         end = start + self.length
-        return self._hash(start, end, self.prefix) & _EVEN, self._hash(start, end, self._prefix(_OTHER))
+        # the second reads the bytes of these strings alone, joined
+        opens = np.flatnonzero(np.append(True, start[1:] > end[:-1]))
+        counts = np.diff(opens, append=len(start))
+        low, high = start[opens], end[opens + counts - 1]
+        joined = np.concatenate([self.data[x:y] for x, y in zip(low.tolist(), high.tolist())])
+        at = start - np.repeat(low - np.cumsum(high - low) + (high - low), counts)
+        return self._hash(start, end, self.prefix) & _EVEN, self._hash(at, at + self.length, self._prefix(joined, _OTHER))
+
+
+def _sorted(keys: np.ndarray) -> np.ndarray:
+    """The order of unsigned keys: their first bits and the row are sorted as one number, which is faster than to sort rows."""
+    n = len(keys)
+    if n < 2:
+        return np.arange(n)
+    least = keys.min()
+    bits, spread = (n - 1).bit_length(), int(keys.max() - least).bit_length()
+    mask = np.uint64((1 << bits) - 1)
+    both = (keys - least) << np.uint64(min(63, 64 - spread))
+    both &= ~mask
+    both |= np.arange(n, dtype=np.uint64)
+    both.sort()
+    both &= mask
+    order = both.view(np.int64)
+    there = keys[order]
+    # other keys may have the same first bits
+    return order if (there[1:] >= there[:-1]).all() else np.argsort(keys, kind="stable")
+
+
+def _order(first: np.ndarray, *more: np.ndarray) -> np.ndarray:
+    """The order by several keys; those after the first are sorted only where they differ among equals of it."""
+    order = _sorted(first)
+    if not more or not len(order):
+        return order
+    same = np.append(False, first[order[1:]] == first[order[:-1]])
+    differ = same.copy()
+    differ[1:] &= np.logical_or.reduce([k[order[1:]] != k[order[:-1]] for k in more])
+    if differ.any():
+        group = np.cumsum(~same) - 1
+        some = np.flatnonzero(np.bincount(group[differ], minlength=group[-1] + 1)[group])
+        rows = order[some]
+        order[some] = rows[np.lexsort((*(k[rows] for k in more[::-1]), first[rows]))]
+    return order
 
 
 class _Lookup:
-    """A sorted table of hashes. Most keys that aren't in it are told by one bit, without a search."""
+    """A table of hashes, by some of their bits. Most keys that aren't in it are told by one of these, without a look at the table."""
 
     def __init__(self, table: np.ndarray):
-        self.table = np.ascontiguousarray(table)
         self.mask = np.uint64((1 << max(10, min(26, (8 * len(table)).bit_length()))) - 1)
+        place = self.place(table)
         self.bits = np.zeros(int(self.mask) + 1, bool)
-        self.bits[self.place(self.table)] = True
+        self.bits[place] = True
+        self.rows = _sorted(place)
+        self.table = table[self.rows]
+        # a slot is four places, so rows in order of places are in order of slots
+        self.start = np.zeros((int(self.mask) >> 2) + 2, np.int32)
+        np.cumsum(np.bincount(self.slot(place), minlength=len(self.start) - 1), out=self.start[1:])
 
     def place(self, keys: np.ndarray) -> np.ndarray:
         return (keys >> np.uint64(1)) & self.mask
 
+    def slot(self, place: np.ndarray) -> np.ndarray:
+        return (place >> np.uint64(2)).astype(np.int64)
+
     def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Which keys are in the table, and where."""
-        some = np.flatnonzero(self.bits[self.place(keys)])
-        if not len(some):
-            return some, some
-        at = np.minimum(np.searchsorted(self.table, keys[some]), len(self.table) - 1)
-        here = self.table[at] == keys[some]
-        return some[here], at[here]
+        """Which keys are in the table, in order, and in which row."""
+        place = self.place(keys)
+        some = np.flatnonzero(self.bits[place])
+        keys, slot = keys[some], self.slot(place[some])
+        at, end = self.start[slot], self.start[slot + 1]
+        found = np.full(len(some), -1, np.int64)
+        live = np.arange(len(some))
+        while len(live):
+            here = at[live]
+            same = self.table[here] == keys[live]
+            found[live[same]] = here[same]
+            live = live[~same]
+            at[live] += 1
+            live = live[at[live] < end[live]]
+        here = np.flatnonzero(found >= 0)
+        return some[here], self.rows[found[here]]
 
 
 def _bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
@@ -218,7 +298,7 @@ class _Least:
 
     def compact(self) -> list[np.ndarray]:
         *keys, ids, several = (np.concatenate(c) for c in zip(*self.held))
-        order = np.argsort(keys[0]) if len(keys) == 1 else np.lexsort(keys[::-1])
+        order = _order(*keys)
         keys, ids, several = [k[order] for k in keys], ids[order], several[order]
         first = _edges(keys) if len(ids) else np.zeros(0, np.int64)
         least = ids
@@ -241,7 +321,7 @@ def _by_chunk(work, length: int, v: int):
             return [out] if out is not None else []
 
         for batch in batches_:
-            for k, kind, doc_id, text, blob in zip(*(batch.column(c).to_pylist() for c in range(5))):
+            for k, kind, doc_id, text, blob in zip(*(batch.column(c).to_pylist() for c in range(3)), batch.column(3).cast(pa.binary()).to_pylist(), batch.column(4).to_pylist()):
                 if k != chunk:
                     if job is not None:
                         yield from fed()
@@ -252,7 +332,7 @@ def _by_chunk(work, length: int, v: int):
                     continue
                 if job is None:
                     job = work(chunk, marks)
-                for piece in pieces(NOBODY if doc_id is None else doc_id, text.encode(), length, v):
+                for piece in pieces(NOBODY if doc_id is None else doc_id, text, length, v):
                     if held and size + len(piece.data) > BATCH:
                         yield from fed()
                         held, size = [], 0
@@ -266,9 +346,8 @@ def _by_chunk(work, length: int, v: int):
 
 
 def _table(blobs: list[bytes], width: int) -> np.ndarray:
-    """Rows in order of their first number."""
-    rows = np.concatenate([np.zeros((0, width), np.uint64), *(_unpacked(b, width) for b in blobs)])
-    return rows[np.argsort(rows[:, 0], kind="stable")]
+    """Rows of several blobs."""
+    return np.concatenate([np.zeros((0, width), np.uint64), *(_unpacked(b, width) for b in blobs)])
 
 
 class _Strings:
@@ -295,7 +374,7 @@ class _Classes(_Strings):
 
     def __init__(self, chunk, marks, *how):
         super().__init__(chunk, marks, *how)
-        self.shared = _Lookup(np.sort(np.concatenate([np.zeros(0, np.uint64), *(_from_short(b[8:]) | np.uint64(int.from_bytes(b[:8], "little") << 40) for b in marks[0])])))
+        self.shared = _Lookup(np.concatenate([np.zeros(0, np.uint64), *(_from_short(b[8:]) | np.uint64(int.from_bytes(b[:8], "little") << 40) for b in marks[0])]))
 
     def feed(self, some):
         sample = Sample(some, *self.how)
@@ -332,7 +411,7 @@ class _Suffixes(_Strings):
         _, start = self.resolved(sample)
         first, second = sample.suffixes(start)
         mine = (first >> np.uint64(1)) % self.parts == self.part
-        self.least.add([first[mine], second[mine]], sample.ids[np.searchsorted(sample.ends, start[mine], side="right")])
+        self.least.add([first[mine], second[mine]], sample.ids[sample.piece_of(start[mine])])
 
     def rows(self, keys, ids, several):
         return _blobs(np.stack([keys[0] | several, keys[1], ids.view(np.uint64)], axis=1), keys[0], self.chunk, self.buckets, _packed)
@@ -353,7 +432,7 @@ class _Bytes(_Suffixes):
         if len(start):
             first, second = sample.suffixes(start)
             some, at = self.first.find(first)
-            ids = sample.ids[np.searchsorted(sample.ends, start[some], side="right")]
+            ids = sample.ids[sample.piece_of(start[some])]
             start = start[some[(self.second[at] == second[some]) & (ids > self.first_of[at])]]
         return _union(np.concatenate([sample.low[gone], start]), np.concatenate([sample.last[gone], start]) + sample.length)
 
@@ -436,10 +515,12 @@ def _shared(bucket, chunks, blobs):
     """Step 1: to each chunk those of its strings that another document has."""
     rows, of = _from_short(b"".join(blobs)), np.repeat(np.arange(len(blobs)), [len(b) // 5 for b in blobs])
     keys = rows & _EVEN
-    _, at, n = np.unique(keys, return_inverse=True, return_counts=True)
-    several = n > 1
-    several[at[(rows & ~_EVEN) > 0]] = True
-    some = several[at]
+    order = _sorted(rows)  # the last bit tells apart what several documents of a chunk have
+    first = _edges([keys[order]])
+    n = np.diff(first, append=len(rows))
+    several = (n > 1) | ((rows[order[first + n - 1]] & ~_EVEN) > 0)
+    some = np.empty(len(rows), bool)
+    some[order] = np.repeat(several, n)
     return [(c, bucket.to_bytes(8, "little") + b) for c, b in _back(chunks, keys[some], of[some], _short) if b]
 
 
@@ -449,13 +530,13 @@ def _ranked(bucket, chunks, blobs):
     strings = np.concatenate([_from_short(b[: 5 * k]) for b, k in zip(blobs, n)])
     rows, of = np.concatenate([_unpacked(b[5 * k :], 2) for b, k in zip(blobs, n)]), np.repeat(np.arange(len(blobs)), n)
     classes, ids = rows[:, 0] & _EVEN, np.ascontiguousarray(rows[:, 1]).view(np.int64)
-    order = np.lexsort((ids, classes, strings))
+    order = _order(strings, classes)
     string_edges, class_edges = _edges([strings[order]]), _edges([strings[order], classes[order]])
     sizes = np.diff(np.append(class_edges, len(rows)))
     of_string = np.searchsorted(string_edges, class_edges, side="right") - 1
     others = np.bincount(of_string, minlength=len(string_edges)) > 1
     several, least = np.empty(len(rows), bool), np.empty(len(rows), np.int64)
-    several[order], least[order] = np.repeat(others[of_string], sizes), np.repeat(ids[order][class_edges], sizes)
+    several[order], least[order] = np.repeat(others[of_string], sizes), np.repeat(np.minimum.reduceat(ids[order], class_edges), sizes)
     some = several | (least < ids) | ((rows[:, 0] & ~_EVEN) > 0)
     return _back(chunks, np.stack([classes[some] | several[some].astype(np.uint64), least[some].view(np.uint64)], axis=1), of[some])
 
@@ -465,10 +546,10 @@ def _first(bucket, chunks, blobs):
     rows = np.concatenate([_unpacked(b, 3) for b in blobs])
     of = np.repeat(np.arange(len(blobs)), [len(b) // 24 for b in blobs])
     first, second, ids = rows[:, 0] & _EVEN, rows[:, 1], np.ascontiguousarray(rows[:, 2]).view(np.int64)
-    order = np.lexsort((ids, second, first))
+    order = _order(first, second)
     edges = _edges([first[order], second[order]])
     least = np.empty(len(rows), np.int64)
-    least[order] = np.repeat(ids[order][edges], np.diff(np.append(edges, len(rows))))
+    least[order] = np.repeat(np.minimum.reduceat(ids[order], edges), np.diff(np.append(edges, len(rows))))
     some = (least < ids) | ((rows[:, 0] & ~_EVEN) > 0)
     return _back(chunks, np.stack([first[some], second[some], least[some].view(np.uint64)], axis=1), of[some])
 

@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import duckdb
+import numpy as np
 import pytest
 
 from spidex.llm import linededup, queries, suffix
@@ -72,6 +73,37 @@ def test_difference_covers():
         assert {(a - b) % v for a in cover for b in cover} == set(range(v)) and len(cover) <= 2 * v**0.5 + 2
 
 
+def test_suffix_tables_in_any_order():
+    """Lookups take a table as it comes and give its rows; orders hold where first bits, or all of the first key, agree."""
+    rng = np.random.default_rng(7)
+    for n in (0, 1, 2, 50, 5000):
+        table = rng.permutation(np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64) << np.uint64(1)))
+        keys = rng.permutation(np.concatenate([table, table ^ np.uint64(1 << 60), table + np.uint64(1 << 40)]))
+        some, row = suffix._Lookup(table).find(keys)
+        place = {k: i for i, k in enumerate(table.tolist())}
+        assert list(zip(some.tolist(), row.tolist())) == [(i, place[k]) for i, k in enumerate(keys.tolist()) if k in place]
+        for spread in (1, 3, 1 << 20, 1 << 64):
+            first, second = rng.integers(0, spread - 1, n, dtype=np.uint64, endpoint=True), rng.integers(0, 3, n, dtype=np.uint64)
+            first[: n // 2] |= np.uint64(1 << 63)
+            assert suffix._sorted(first).tolist() == np.argsort(first, kind="stable").tolist()
+            order = suffix._order(first, second)
+            assert sorted(order.tolist()) == list(range(n)) and list(zip(first[order].tolist(), second[order].tolist())) == sorted(zip(first.tolist(), second.tolist()))
+
+
+def test_suffix_second_hash_is_of_the_string_alone():
+    """Equal strings have equal hashes wherever they are and whatever else is looked at; others differ."""
+    rng = random.Random(3)
+    part = [bytes(rng.choice(b"ab") for _ in range(rng.randint(60, 90))) for _ in range(4)]
+    texts = [b"".join(rng.choice(part) for _ in range(5)) for _ in range(6)]
+    sample = suffix.Sample([suffix.Piece(k, t, 0, len(t), 0, len(t)) for k, t in enumerate(texts)])
+    own = np.flatnonzero(sample.own)
+    strings = [sample.data[x : x + 50].tobytes() for x in own.tolist()]
+    pairs = list(zip(*(h.tolist() for h in sample.suffixes(own))))
+    assert len(set(pairs)) == len({p[1] for p in pairs}) == len(set(strings)) == len(set(zip(pairs, strings)))
+    some = np.sort(np.array(rng.sample(range(len(own)), 40)))
+    assert list(zip(*(h.tolist() for h in sample.suffixes(own[some])))) == [pairs[k] for k in some.tolist()]
+
+
 def test_suffix_odd(spark, odd_docs, no_docs):
     rows = suffix.repeated_bytes(odd_docs).collect()
     docs = [(d, t.encode()) for d, t in texts_of(odd_docs)]
