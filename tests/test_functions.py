@@ -169,3 +169,12 @@ def test_robots_see_decoded_paths(spark):
 def test_bodies_are_read_to_two_mebibytes():
     page = html.parse_page("é" * (html.LARGEST // 2) + "more", None)
     assert len(page["text"]) == html.LARGEST // 2 and html.capped("short é") == "short é"
+
+
+def test_references_without_a_semicolon():
+    page = "<title>a&amp&amp;b&am</title><body>x&amp; &amp y&#38 <a href='/q?a=1&lt=2'>z&lt;&gt</a>"
+    p = html.parse_page(page, "https://h.test/")
+    assert (p["title"], p["text"], p["links"][0]["anchor"]) == ("a&&b&am", "x& & y& z<>", "z<>")
+    p = html.parse_page(page, "https://h.test/", bare=False)
+    assert (p["title"], p["text"], p["links"][0]["anchor"]) == ("a&amp&b&am", "x& &amp y&#38 z<&gt", "z<&gt")
+    assert p["links"][0]["href"] == "https://h.test/q?a=1&lt=2"
