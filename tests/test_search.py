@@ -112,3 +112,21 @@ def test_pagerank(spark):
     assert rank.pagerank(v.limit(0), e).count() == 0
     lone = {r.id: round(r.score, 6) for r in rank.pagerank(spark.createDataFrame([("Z",)], "id string"), e).collect()}
     assert lone["Z"] == 0.15
+
+
+def test_terms_are_grouped_within_a_document(spark):
+    """Rows of one id are merged, a null id's too; a task never has a table of (document, term)."""
+    rows = [(1, "b a", "a b a"), (2, None, ""), (1, "c", "b, a"), (None, "x", None), (None, "x", "x"), (3, "", "z" * 70000 + " z")] + [(k, "t", "w0 w1 w0") for k in range(10, 600)]
+    made = index.build_segment(spark.createDataFrame(rows, "doc_id long, title string, text string"), 7)
+    analysed = index.postings(index.analysed(spark.createDataFrame(rows, "doc_id long, title string, text string")), 7)
+    want = {}
+    for doc_id, title, text in rows:
+        for term in (title or "").split():
+            want.setdefault((term, doc_id), [0, []])[0] += 1
+        for k, term in enumerate((text or "").replace(",", "").split()):
+            want.setdefault((term, doc_id), [0, []])[1].append(k)
+    for postings in (made[0], analysed):
+        got = {(r.term, r.doc_id): [r.title_tf, r.positions] for r in postings.collect()}
+        assert got == {k: [n, sorted(p)] for k, (n, p) in want.items()} and postings.filter("size(positions) <> text_tf or segment_id <> 7").isEmpty()
+        plan = postings._jdf.queryExecution().optimizedPlan().toString()
+        assert not [line for line in plan.splitlines() if "Aggregate" in line and "term" in line.split("]")[0]]
