@@ -1,3 +1,4 @@
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -178,3 +179,17 @@ def test_references_without_a_semicolon():
     p = html.parse_page(page, "https://h.test/", bare=False)
     assert (p["title"], p["text"], p["links"][0]["anchor"]) == ("a&amp&b&am", "x& &amp y&#38 z<&gt", "z<&gt")
     assert p["links"][0]["href"] == "https://h.test/q?a=1&lt=2"
+
+
+def test_pages_are_parsed_a_few_at_a_time():
+    pages, read = [f"<title>{k}</title>" for k in range(2 * html.AT_ONCE + 1)] + [None], []
+
+    def batches():
+        for k in range(2):
+            read.append(k)
+            yield pa.array(pages), pa.array([None] * len(pages), pa.string())
+
+    rows = html.parsed_pages(batches())
+    assert len(next(rows)) == html.AT_ONCE and read == [0]
+    assert [len(x) for x in rows] == [html.AT_ONCE, 2, html.AT_ONCE, html.AT_ONCE, 2]
+    assert [x["title"] for out in html.parsed_pages(batches()) for x in out.to_pylist()] == 2 * [*map(str, range(2 * html.AT_ONCE + 1)), ""]
