@@ -253,3 +253,20 @@ def test_robots_to_fetch(spark, tmp_path):
     e.seed({d: [f"https://{d}/"] for d in ("a.test", "b.test", "c.test")}, now())
     files = spark.createDataFrame([("a.test", 200, "", T0), ("b.test", 200, "", T0 - dt.timedelta(hours=25))], "host string, status int, body string, fetched_at timestamp")
     assert {r.host for r in e.robots_to_fetch(files, now()).collect()} == {"b.test", "c.test"}
+
+
+def test_postings_are_dealt_by_document_to_sorted_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(segments, "PART_TOKENS", 100)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    s = SegmentStore(spark, f"file://{tmp_path}/index")
+    for k in range(2):
+        s.flush(*make(spark, [(f"d{n}", "t", f"all w{n} v{k}") for n in range(k * 40, 120)], 1))
+    s.forget(spark.createDataFrame([("d0",)], "doc_id string"))
+    assert s.maybe_merge(2)["documents"] == 119 and spark.conf.get("spark.sql.shuffle.partitions") == before
+    s.validate()
+    files = s.active()[0].select("term", "doc_id", F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("n")).orderBy("n").collect()
+    assert 3 <= len({r.file for r in files}) <= 5  # 476 tokens; the word that all have is in each file
+    assert {r.file for r in files if r.term == "all"} == {r.file for r in files} and all(len({r.file for r in files if r.doc_id == d}) == 1 for d in ("d1", "d50", "d119"))
+    for f in {r.file for r in files}:
+        rows = [(r.term, r.doc_id) for r in files if r.file == f]
+        assert rows == sorted(rows)
